@@ -1,9 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document has a fractional number of copies, its source's target over its source's size. The whole part
-is taken; the fraction is rounded dependently: two documents with fractional probabilities meet, and mass
-moves at random from one to the other, in words, until one of them is integral. Expectations and the words
-of the pair are kept exactly, so a source misses its target by less than one document. Each source is dealt
+is taken; the fraction is rounded dependently: a document is paired with another, or with all smaller ones of
+its bucket taken as one, and mass moves at random between them, in words, until one is integral. Expectations
+and the words of the pair are kept, so a source misses its target by less than one document. Each source is dealt
 into salted buckets, each bucket leaves at most one unfinished document, and these meet again in a reduction
 tree, level by level, until one is left per source, which a last draw settles.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,31 +42,62 @@ def _draw(a: int, b: int, salt: int) -> float:
 
 
 def pivot(rows: list[tuple[int, int, float]], seed: int) -> tuple[dict[int, int], tuple[int, float] | None]:
-    """Rounds rows of (key, size, p), 0 < p < 1: index -> 0 or 1, and the index and p of the one left over."""
+    """Rounds rows of (key, size, p), 0 < p < 1: index -> 0 or 1, and the index and p of the one left over.
+
+    Largest first, each document is paired with all smaller ones taken as one: it becomes integral and the
+    others give or take its words in proportion to their room, which keeps every expectation and the words of
+    all, and leaves over a small document rather than a large one. Where the others have too little room, and
+    at the end, documents meet in plain pairs.
+    """
+    order = sorted(range(len(rows)), key=lambda k: (-rows[k][1], rows[k][0]))
+    w = np.array([rows[k][1] for k in order], dtype=np.float64)
+    p = np.array([rows[k][2] for k in order], dtype=np.float64)
     done: dict[int, int] = {}
-    left: tuple[int, float] | None = None
-    for j, (key, w, p) in enumerate(rows):
-        if left is None:
-            left = (j, p)
+    rest: list[int] = []
+    for i, k in enumerate(order):
+        q, v = float(p[i]), float(w[i])
+        if not 1e-12 < q < 1 - 1e-12:
+            done[k] = int(q > 0.5)
+            continue
+        room = np.minimum(p[i + 1 :], 1 - p[i + 1 :])
+        words = float(room @ w[i + 1 :])
+        if max(q, 1 - q) * v > words:
+            rest.append(i)
             continue
-        i, q = left
-        v = rows[i][1]
-        up = min((1 - q) * v, p * w)  # words that can move from j to i
-        down = min(q * v, (1 - p) * w)  # and from i to j
-        moved = up if _draw(rows[i][0], key, seed) * (up + down) < down else -down
-        full = moved == (1 - q) * v if moved > 0 else -moved == q * v
-        if full:  # i has become integral
-            done[i] = int(moved > 0)
-            left = (j, p - moved / w)
+        up = _draw(rows[k][0], len(rows) - i, seed) < q
+        p[i + 1 :] += room * ((q if not up else q - 1) * v / words)
+        done[k] = int(up)
+    left: tuple[int, float] | None = None
+    for i in rest:
+        k, q = order[i], float(p[i])
+        if not 1e-12 < q < 1 - 1e-12:
+            done[k] = int(q > 0.5)
+        elif left is None:
+            left = (k, q)
         else:
-            done[j] = int(moved < 0)
-            left = (i, q + moved / v)
-        if not 1e-12 < left[1] < 1 - 1e-12:  # both at once
-            done[left[0]] = int(left[1] > 0.5)
-            left = None
+            left = _pair(rows, left, (k, q), done, seed)
     return done, left
 
 
+def _pair(rows: list[tuple[int, int, float]], a: tuple[int, float], b: tuple[int, float], done: dict[int, int], seed: int) -> tuple[int, float] | None:
+    """Moves words between two documents until one is integral; returns the other."""
+    (i, q), (j, p) = a, b
+    v, w = rows[i][1], rows[j][1]
+    up = min((1 - q) * v, p * w)  # words that can move from j to i
+    down = min(q * v, (1 - p) * w)  # and from i to j
+    moved = up if _draw(rows[i][0], rows[j][0], seed) * (up + down) < down else -down
+    if moved == (1 - q) * v if moved > 0 else -moved == q * v:
+        done[i] = int(moved > 0)
+        left = (j, p - moved / w)
+    else:
+        done[j] = int(moved < 0)
+        left = (i, q + moved / v)
+    if 1e-12 < left[1] < 1 - 1e-12:
+        return left
+    done[left[0]] = int(left[1] > 0.5)  # both at once
+    return None
+
+
 def _settle(batches: Iterator[pd.DataFrame], last: bool, seed: int) -> Iterator[pd.DataFrame]:
     """Rows come sorted by source and bucket; a group may go over several batches and is carried along by what is left."""
     open_key, held = None, None  # the unfinished row of the bucket at hand
