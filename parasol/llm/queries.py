@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parasol.llm import decontamination, mixing, sharding
+from parasol.llm import decontamination, mixing, sharding, simhash
 from parasol.llm.common import batched
 
 
@@ -28,10 +28,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve_index")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched(spark)
+    return simhash.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
+    "op6_simhash": op6_simhash,
 }
 
 OP2_SQL = r"""
