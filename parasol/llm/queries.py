@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parasol.llm import decontamination, mixing, sharding, simhash
+from parasol.llm import ann, decontamination, extraction, langid, mixing, quality, sharding, simhash, substrings
 from parasol.llm.common import batched
 
 
@@ -33,11 +33,41 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched(spark)
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched(spark)
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched(spark)
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched(spark)
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_substrings": op3_substrings,
     "op4_sharding": op4_sharding,
+    "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
+    "op9_langid": op9_langid,
+    "op10_extraction": op10_extraction,
 }
 
 OP2_SQL = r"""
