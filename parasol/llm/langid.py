@@ -8,6 +8,7 @@ LANGUAGES languages (the most frequent ones), SIZE bytes of dictionary each. Cla
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from parasol.llm.common import fresh
 
-SIZE, PASSAGE, SAMPLE, LANGUAGES = 48 << 10, 1500, 200, 256
-LEVEL = 3
+SIZE, PASSAGE, SAMPLE, LANGUAGES = 32 << 10, 1500, 200, 256
+SHARED = 4  # words: runs of so many that occur before, in any language, are left out of dictionaries
+SHORT = 1500  # bytes: shorter texts are encoded by optimal parsing with matches from three bytes on
 PIECE = 4096  # bytes encoded at once: in longer pieces a text would lean on itself, not on the dictionary
-NARROW = 0.002  # of the smallest encoding: a text whose two best are nearer is rejected
+NARROW = 0.001  # of the smallest encoding: a text whose two best are nearer is rejected
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters lower-cased, other ASCII blank, bytes of other characters as they are.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -30,17 +32,22 @@ def folded(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split())
 
 
+def encoder(dictionary: bytes, strategy: int, least: int) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters.from_level(
+        3, strategy=strategy, min_match=least, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    d = zstandard.ZstdCompressionDict(dictionary or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+
+
 class Compressors:
-    """One encoder for each language, in order of name."""
+    """Encoders of each language, in order of name, for long and for short texts."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.encoders = []
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name] or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            self.encoders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+        self.long = [encoder(dictionaries[n], zstandard.STRATEGY_LAZY2, 4) for n in self.names]
+        self.short = [encoder(dictionaries[n], zstandard.STRATEGY_BTULTRA, 3) for n in self.names]
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0: as good as the next, towards 1: far better), rejected."""
@@ -48,7 +55,7 @@ class Compressors:
             return "und", 0.0, True
         line = folded(text) or b" "
         pieces = [line[k : k + PIECE] for k in range(0, len(line), PIECE)]
-        sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.encoders]
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in (self.short if len(line) < SHORT else self.long)]
         best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
         if len(sizes) == 1:
             return self.names[0], 1.0, False
@@ -76,14 +83,32 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     length = F.length("text")
     start = F.lit(1) + F.pmod(F.shiftrightunsigned("h", 31), F.greatest(F.lit(1), length - PASSAGE))
     picked = rows.where(draw < F.element_at(rate, F.col("lang"))).select("lang", "h", F.substring(F.col("text"), start.cast("int"), F.lit(PASSAGE)).alias("t"))
-    out = {r["lang"]: b"" for r in counts}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["t"])):
-        if len(out[r["lang"]]) < SIZE:
-            out[r["lang"]] += folded(r["t"]) + b" "
+    return dictionaries([(r["lang"], r["h"], r["t"]) for r in picked.collect()], [r["lang"] for r in counts])
+
+
+def dictionaries(passages: list[tuple[str, int, str]], names: list[str]) -> dict[str, bytes]:
+    """Passages in order of hash, without word runs that another language has or that came before (copies, licences)."""
+    rows = [(lang, folded(t).split()) for lang, _, t in sorted(passages)]
+    of: dict[tuple, set[str]] = defaultdict(set)
+    for lang, words in rows:
+        for k in range(len(words) - SHARED + 1):
+            of[tuple(words[k : k + SHARED])].add(lang)
+    seen: set[tuple] = set()
+    out = dict.fromkeys(names, b"")
+    for lang, words in rows:
+        if len(out[lang]) >= SIZE:
+            continue
+        drop: set[int] = set()
+        for k in range(len(words) - SHARED + 1):
+            run = tuple(words[k : k + SHARED])
+            if len(of[run]) > 1 or run in seen:
+                drop.update(range(k, k + SHARED))
+            seen.add(run)
+        out[lang] += b"".join(w + b" " for k, w in enumerate(words) if k not in drop)
     return {k: v[:SIZE] for k, v in out.items()}
 
 
-def predicted(docs: DataFrame, dictionaries: dict[str, bytes], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+def predicted(docs: DataFrame, learned: dict[str, bytes], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """docs with the three columns; docs' own columns of these names are replaced.
 
     A null text, or one without a letter, is `und` with score 0 and rejected, as is any text if nothing was
@@ -91,7 +116,7 @@ def predicted(docs: DataFrame, dictionaries: dict[str, bytes], names: tuple[str,
     """
     docs = docs.drop(*names)
     schema = docs.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0), names[2]: F.lit(True)}).schema
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # LANGUAGES times SIZE bytes at most
+    sent = docs.sparkSession.sparkContext.broadcast(learned)  # LANGUAGES times SIZE bytes at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Compressors(sent.value)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parasol.llm import ann, decontamination, extraction, langid, mixing, quality, sharding, simhash, substrings
+from parasol.llm import ann, decontamination, extraction, langid, lm, mixing, quality, sharding, simhash, substrings
 from parasol.llm.common import batched
 
 
@@ -58,6 +58,11 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched(spark)
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ann": op5_ann,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_lm": op8_lm,
     "op9_langid": op9_langid,
     "op10_extraction": op10_extraction,
 }
