@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parasol.llm.common import SPACE_WORD, keep, parts
+from parasol.llm.common import SPACE_WORD, fresh, keep, parts
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -252,20 +252,14 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     Rows without words carry no weight and stay once. Decisions are joined back by row key; rows that share a
     key are whole copies, and their copies are spread over them evenly.
     """
-    from parasol.llm.common import fresh
-
     text = F.coalesce(F.col("text"), F.lit(""))
-    k, n, t = fresh(docs, "_key", "_rows", "_times")
+    k, n, t, at = fresh(docs, "_key", "_rows", "_times", "_at")
     key = F.xxhash64(F.col("doc_id"), text, F.coalesce(F.col("source"), F.lit("")))
     out = rounded_copies(docs, key, seed)
-    decided = out.groupBy(F.col("row_key").alias(k)).agg(F.count(F.lit(1)).alias(n), F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias(t))
-    # Copies of whole rows: all but the first few get the even share, the first few one more.
-    from pyspark.sql import Window
-
-    keyed = docs.withColumn(k, key)
-    single = keyed.join(decided.where(F.col(n) == 1), k).drop(n)
-    several = keyed.join(decided.where(F.col(n) > 1), k)
-    at = F.row_number().over(Window.partitionBy(k).orderBy(F.lit(0)))
-    several = several.withColumn("_at_" + k, at).withColumn(t, F.floor(F.col(t) / F.col(n)) + F.when(F.col("_at_" + k) <= F.col(t) % F.col(n), 1).otherwise(0)).drop(n, "_at_" + k)
-    both = single.unionByName(several).where(F.col(t) > 0)
-    return both.withColumn(t, F.explode(F.sequence(F.lit(1), F.col(t).cast("int")))).select(*docs.columns)
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
+    decided = out.groupBy(F.col("row_key").alias(k)).agg(F.count(F.lit(1)).alias(n), F.sum(copies).alias(t))
+    twins = Window.partitionBy(k).orderBy(F.xxhash64(*docs.columns))
+    keyed = docs.withColumn(k, key).withColumn(at, F.row_number().over(twins)).join(decided, k)
+    even = F.floor(F.col(t) / F.col(n)) + F.when(F.col(at) <= F.col(t) % F.col(n), 1).otherwise(0)
+    times = keyed.withColumn(t, even.cast("int")).where(F.col(t) > 0)
+    return times.withColumn(t, F.explode(F.sequence(F.lit(1), F.col(t)))).select(*docs.columns)
