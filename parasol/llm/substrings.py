@@ -11,7 +11,8 @@ Two things make it fit whole corpora. Texts are cut into pieces at anchors, the
 100-byte window, so equal windows are in pieces of one anchor, the pieces of an anchor meet in one bucket, and
 no piece, hence no number of rounds, grows with the length of a text. And a symbol is a block of ten bytes, a
 piece entering once for each of the ten ways to cut it, so that 184 bytes take 18 rounds, not 184.
-Pieces whose anchor occurs once have no repeat and are left out; byte-equal pieces are sorted once.
+Byte-equal pieces are taken as one, and an anchor with one distinct piece is left out of the sorting: nothing
+but the copies of that piece, all but the first of which go whole, can repeat in it.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ DEEP = LENGTH // STEP
 SPAN = LENGTH - GRAM + 1  # grams in a window
 SEGMENT = 4 << 20  # bytes whose pieces are cut at once
 BUCKET = 12 << 20  # bytes of text for each bucket of pieces
+SORTED = 2 << 20  # bytes of pieces sorted at once
 GROUP = 32 << 20  # bytes of text for each group of documents that meets its spans
 MIX = 1540483477
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -117,7 +119,8 @@ def _cut(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterat
         key, of, start, n, pos = (x[order] for x in (key, of, start, n, pos))
         seen: dict[bytes, int] = {}
         body = [data[s : s + m] for s, m in zip(start.tolist(), (n + LENGTH - 1).tolist(), strict=True)]
-        fresh = np.fromiter((seen.setdefault(p, k) == k for k, p in enumerate(body)), bool, len(body))
+        first = np.fromiter((seen.setdefault(p, k) for k, p in enumerate(body)), np.int64, len(body))
+        fresh = first == np.arange(len(body))
         at = (key % np.uint64(buckets)).astype(np.int64)
         keep = np.flatnonzero(fresh)
         keep = keep[np.argsort(at[keep], kind="stable")]
@@ -129,7 +132,8 @@ def _cut(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterat
             rows.append((int(at[k[0]]), blob))
         if rows:
             yield _batch(rows, 0)
-        old = np.flatnonzero(~fresh)
+        twin = (who[of, 0] == who[of[first], 0]) & (who[of, 1] == who[of[first], 1]) & (pos == pos[first])
+        old = np.flatnonzero(~fresh & ~twin)  # a document given twice is one
         if len(old):
             yield from _spans(who[of[old], 0], who[of[old], 1], pos[old], pos[old] + n[old] + LENGTH - 1, groups)
 
@@ -175,20 +179,21 @@ def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
 class Columns:
     """The sorted list of suffixes: symbol, place of the prolonged suffix, common prefix, name."""
 
-    KINDS = (("symbol", np.int64), ("tail", np.int64), ("common", np.uint8), ("name", np.int64))
+    KINDS = (("symbol", np.int32), ("tail", np.int32), ("common", np.uint8), ("name", np.int64))
 
     def __init__(self) -> None:
         self.file, self.n = tempfile.TemporaryFile(), 0
 
     def read(self) -> list[np.ndarray]:
         self.file.seek(0)
-        return [np.frombuffer(self.file.read(self.n * np.dtype(k).itemsize), k) for _, k in self.KINDS]
+        out = [np.frombuffer(self.file.read(self.n * np.dtype(k).itemsize), k) for _, k in self.KINDS]
+        return [x if x.dtype == np.uint8 else x.astype(np.int64) for x in out]
 
     def write(self, arrays: list[np.ndarray]) -> None:
         self.file.seek(0)
         self.n = len(arrays[0])
-        for x in arrays:
-            self.file.write(np.ascontiguousarray(x))
+        for x, (_, kind) in zip(arrays, self.KINDS, strict=True):
+            self.file.write(np.ascontiguousarray(x.astype(kind)))
 
     def close(self) -> None:
         self.file.close()
@@ -302,22 +307,28 @@ def _bucket(blobs: list[bytes], groups: int) -> Iterator[pa.RecordBatch]:
     d, g, q = doc[several], h[several], pos[several]
     rank = np.cumsum(np.r_[0, (d[1:] != d[:-1]) | (g[1:] != g[:-1])]) << 36 | q
     seen: dict[bytes, int] = {}
-    body: list[bytes] = []
     lead: list[int] = []
     out: list[tuple[int, int, int]] = []  # piece, first and end byte of a span in it
     for k, x in enumerate(several.tolist()):
-        b = raw[begin[x] : begin[x] + size[x]]
-        j = seen.setdefault(b, len(body))
-        if j == len(body):
-            body.append(b)
+        j = seen.setdefault(raw[begin[x] : begin[x] + size[x]], len(lead))
+        if j == len(lead):
             lead.append(k)
         elif rank[k] != rank[lead[j]]:
             out.append((x, 0, int(size[x])))
-    for j, w in enumerate(repeats(body, rank[np.array(lead)])):
-        if len(w):
-            cut = np.flatnonzero(np.r_[True, w[1:] > w[:-1] + LENGTH, True])
-            x = int(several[lead[j]])
-            out += [(x, int(w[a]), int(w[b - 1]) + LENGTH) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    body, head = list(seen), np.array(lead)
+    # An anchor with one distinct piece has no repeat but that piece's copies.
+    _, at, count = np.unique(key[several[head]], return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count[at] > 1)
+    part = at[shared] % (1 + int(size[several[head[shared]]].sum()) // SORTED)
+    for p in range(int(part.max(initial=-1)) + 1):
+        chosen = shared[part == p]
+        if not len(chosen):
+            continue
+        for j, w in zip(chosen.tolist(), repeats([body[j] for j in chosen.tolist()], rank[head[chosen]]), strict=True):
+            if len(w):
+                cut = np.flatnonzero(np.r_[True, w[1:] > w[:-1] + LENGTH, True])
+                x = int(several[lead[j]])
+                out += [(x, int(w[a]), int(w[b - 1]) + LENGTH) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     if out:
         x, a, b = np.array(out, np.int64).T
         yield from _spans(doc[x], h[x], pos[x] + a, pos[x] + b, groups)
