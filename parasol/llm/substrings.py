@@ -11,7 +11,7 @@ Two things make it fit whole corpora. Texts are cut into pieces at anchors, the
 100-byte window, so equal windows are in pieces of one anchor, the pieces of an anchor meet in one bucket, and
 no piece, hence no number of rounds, grows with the length of a text. And a symbol is a block of ten bytes, a
 piece entering once for each of the ten ways to cut it, so that 184 bytes take 18 rounds, not 184.
-Byte-equal pieces are taken as one, and an anchor with one distinct piece is left out of the sorting: nothing
+Pieces whose anchor occurs once hold no repeat and are not sent on. Byte-equal pieces are taken as one, and an anchor with one distinct piece is left out of the sorting: nothing
 but the copies of that piece, all but the first of which go whole, can repeat in it.
 """
 
@@ -36,6 +36,7 @@ DEEP = LENGTH // STEP
 SPAN = LENGTH - GRAM + 1  # grams in a window
 SEGMENT = 4 << 20  # bytes whose pieces are cut at once
 BUCKET = 12 << 20  # bytes of text for each bucket of pieces
+SLOTS, RANGES = 1 << 28, 64  # of the table of anchors that occur more than once, one bit each
 SORTED = 2 << 20  # bytes of pieces sorted at once
 GROUP = 32 << 20  # bytes of text for each group of documents that meets its spans
 MIX = 1540483477
@@ -99,22 +100,77 @@ def _unpack(blob: bytes, *kinds: str) -> list:
     return [*out, raw[at:]]
 
 
-def _cut(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """doc, h, text -> blobs of pieces by bucket, blobs of spans by group.
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
+    """doc, h, text -> parts of documents (doc, h, offset of the first byte), their bytes end to end, and their ends.
 
-    Of byte-equal pieces in a segment only the first goes on: all windows of the others are repeats.
+    A long text goes over several segments; each window is whole in one.
     """
-    docs: list[tuple[int, int, int]] = []  # doc, h, offset of its first byte here
+    docs: list[tuple[int, int, int]] = []
     texts: list[bytes] = []
     size = 0
+    for batch in batches:
+        for d, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            t = t or b""
+            for a in range(0, max(1, len(t) - LENGTH + 1), SEGMENT):
+                part = t[a : a + SEGMENT + LENGTH - 1]
+                if texts and size + len(part) > SEGMENT + LENGTH:
+                    yield np.array(docs, np.int64), b"".join(texts), np.cumsum([len(x) for x in texts])
+                    docs, texts, size = [], [], 0
+                docs.append((d, h, a))
+                texts.append(part)
+                size += len(part)
+    if texts:
+        yield np.array(docs, np.int64), b"".join(texts), np.cumsum([len(x) for x in texts])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, h, text -> slots of anchors by range of slots, twice if they occur more than once."""
+    for _, data, ends in _segments(batches):
+        slot, n = np.unique(pieces(data, ends)[0] % np.uint64(SLOTS), return_counts=True)
+        slot = np.repeat(slot.astype(np.int64), np.minimum(n, 2))
+        width = SLOTS // RANGES
+        cuts = np.searchsorted(slot, np.arange(RANGES + 1) * width)
+        rows = [(r, _pack((slot[i:j] - r * width).astype(np.uint32))) for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+        if rows:
+            yield _batch(rows, 0)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots by range -> one bit for each slot that comes more than once."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        data = b"".join(texts)
-        ends = np.cumsum([len(t) for t in texts])
+    def bits(at: int, count: np.ndarray) -> pa.RecordBatch:
+        return _batch([(at, zstandard.ZstdCompressor().compress(np.packbits(count > 1, bitorder="little").tobytes()))], 0)
+
+    at, count = None, np.zeros(0, np.uint8)
+    for batch in batches:
+        for r, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if r != at:
+                if at is not None:
+                    yield bits(at, count)
+                at, count = r, np.zeros(SLOTS // RANGES, np.uint8)
+            slot = _unpack(blob, "u4")[0]
+            first = np.r_[True, slot[1:] != slot[:-1]]
+            count[slot[first]] = np.minimum(count[slot[first]] + 1, 2)
+            count[slot[~first]] = 2
+    if at is not None:
+        yield bits(at, count)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], buckets: int, groups: int, marks: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    """doc, h, text -> blobs of pieces by bucket, blobs of spans by group.
+
+    Of byte-equal pieces in a segment only the first goes on: all windows of the others are repeats.
+    """
+    table = np.zeros(SLOTS // 8, np.uint8)
+    for r, blob in marks.items():
+        width = SLOTS // RANGES // 8
+        table[r * width : (r + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    for who, data, ends in _segments(batches):
         key, of, start, n = pieces(data, ends)
-        who = np.array(docs, np.int64).reshape(-1, 3)
-        base = np.r_[0, ends[:-1]]
-        pos = start - base[of] + who[of, 2]
+        slot = key % np.uint64(SLOTS)
+        often = table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0
+        key, of, start, n = key[often], of[often], start[often], n[often]
+        pos = start - np.r_[0, ends[:-1]][of] + who[of, 2]
         order = np.lexsort((pos, who[of, 1], who[of, 0]))
         key, of, start, n, pos = (x[order] for x in (key, of, start, n, pos))
         seen: dict[bytes, int] = {}
@@ -137,20 +193,6 @@ def _cut(batches: Iterator[pa.RecordBatch], buckets: int, groups: int) -> Iterat
         if len(old):
             yield from _spans(who[of[old], 0], who[of[old], 1], pos[old], pos[old] + n[old] + LENGTH - 1, groups)
 
-    for batch in batches:
-        for d, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            t = t or b""
-            for a in range(0, max(1, len(t) - LENGTH + 1), SEGMENT):
-                part = t[a : a + SEGMENT + LENGTH - 1]
-                if size + len(part) > SEGMENT + LENGTH:
-                    yield from flush()
-                    docs, texts, size = [], [], 0
-                docs.append((d, h, a))
-                texts.append(part)
-                size += len(part)
-    if texts:
-        yield from flush()
-
 
 def _batch(rows: list[tuple[int, bytes]], kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["at", "kind", "blob"])
@@ -380,6 +422,7 @@ def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], RESULT)
 
 
+BLOBS = "at int, kind int, blob binary"
 RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
@@ -419,10 +462,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = 1 + total // BUCKET, 1 + total // GROUP
-    cut = rows.select("doc", "h", "text").mapInArrow(lambda it: _cut(it, buckets, groups), "at int, kind int, blob binary")
+    body = rows.select("doc", "h", "text")
+    # A table of fixed size says which anchors may occur more than once; no piece of any other can hold a repeat.
+    seen = body.mapInArrow(_mark, BLOBS).repartition(parts(spark), "at").sortWithinPartitions("at").mapInArrow(_repeated, BLOBS)
+    marks = {r["at"]: r["blob"] for r in seen.collect()}
+    sent = spark.sparkContext.broadcast(marks)  # SLOTS bits at most, whatever the input
+    cut = body.mapInArrow(lambda it: _cut(it, buckets, groups, sent.value), BLOBS)
     by = max(parts(spark), min(buckets, 1 << 16))
     met = cut.repartition(by, "at", "kind").sortWithinPartitions("kind", "at")
-    spans = met.mapInArrow(lambda it: _sorted_buckets(it, groups), "at int, kind int, blob binary")
+    spans = met.mapInArrow(lambda it: _sorted_buckets(it, groups), BLOBS)
     low = F.lit(0xFFFFFFFF)
     x = F.col("doc").bitwiseAND(low).bitwiseXOR(F.shiftright("doc", 32).bitwiseAND(low)) * MIX  # as group_of()
     given = rows.select((F.shiftright(x, 15) % groups).cast("int").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "h", "doc_id", "text")
