@@ -77,7 +77,9 @@ def shard(docs: DataFrame, shards: int = 16, keep_text: bool = True) -> DataFram
     level = lambda c: F.pmod(F.crc32(column(c).cast("binary")), F.lit(LEVELS))
     magnitude = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(LEVELS - 1)).cast("long")
     cell = (level("source") * LEVELS + level("lang")) * LEVELS + magnitude
-    rows = rows.withColumn("curve_index", F.element_at(F.lit(curve()), (cell + 1).cast("int")))
+    (at,) = fresh(rows, "_cell")
+    grid = spark.range(1).select(F.posexplode(F.lit(curve())).alias(at, "curve_index"))  # LEVELS cubed rows
+    rows = rows.withColumn(at, cell.cast("int")).join(F.broadcast(grid), at).drop(at)
     # Parts of a cell are ranges of the text hash, so that their order is the order of rows.
     n = rows.select(F.count(F.lit(1)).alias("n")).first()["n"]
     each = max(64, n // (16 * parts(spark)))
