@@ -9,8 +9,8 @@ or more lie together in the end; all but the first occurrence in each such run a
 
 Two things make it fit whole corpora. Texts are cut into pieces at anchors, the least 16-byte hash of each
 100-byte window, so equal windows are in pieces of one anchor, the pieces of an anchor meet in one bucket, and
-no piece, hence no number of rounds, grows with the length of a text. And a symbol is a block of ten bytes, a
-piece entering once for each of the ten ways to cut it, so that 184 bytes take 18 rounds, not 184.
+no piece, hence no number of rounds, grows with the length of a text. And a symbol is a block of twenty bytes, a
+piece entering once for each of the twenty ways to cut it, so that 184 bytes take 9 rounds, not 184.
 Pieces whose anchor occurs once hold no repeat and are not sent on. Byte-equal pieces are taken as one, and an anchor with one distinct piece is left out of the sorting: nothing
 but the copies of that piece, all but the first of which go whole, can repeat in it.
 """
@@ -31,14 +31,14 @@ from parasol.llm.common import parts
 
 LENGTH = 100
 GRAM = 16
-STEP = 10  # bytes of a symbol
+STEP = 20  # bytes of a symbol
 DEEP = LENGTH // STEP
 SPAN = LENGTH - GRAM + 1  # grams in a window
 SEGMENT = 4 << 20  # bytes whose pieces are cut at once
-BUCKET = 12 << 20  # bytes of text for each bucket of pieces
+BUCKET = 6 << 20  # bytes of text for each bucket of pieces
 SLOTS, RANGES = 1 << 28, 64  # of the table of anchors that occur more than once, one bit each
-SORTED = 2 << 20  # bytes of pieces sorted at once
-GROUP = 32 << 20  # bytes of text for each group of documents that meets its spans
+SORTED = 1 << 20  # bytes of pieces sorted at once
+GROUP = 16 << 20  # bytes of text for each group of documents that meets its spans
 MIX = 1540483477
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -279,8 +279,9 @@ def sort_suffixes(symbols: np.ndarray, first: np.ndarray, count: np.ndarray, dee
         for new, kept, fresh in ((new_symbol, symbol, c), (before_tail, tail, p), (new_name, name, own * 256 + r), (new_common, common, 0)):
             new[moved] = kept
             new[place] = fresh
-        touched = np.unique(np.r_[place, place + 1])
-        touched = touched[(touched > 0) & (touched < total)]
+        near = np.zeros(total + 1, bool)
+        near[place] = near[place + 1] = True
+        touched = 1 + np.flatnonzero(near[1:total])
         same = touched[new_symbol[touched] == new_symbol[touched - 1]]
         new_common[touched] = 0
         new_common[same] = np.minimum(deep, 1 + _common(common, before_tail[same - 1], before_tail[same]))
@@ -295,14 +296,23 @@ def sort_suffixes(symbols: np.ndarray, first: np.ndarray, count: np.ndarray, dee
 
 
 def block_codes(data: np.ndarray) -> np.ndarray:
-    """A number for the ten bytes from each place, equal for equal bytes only."""
+    """A number for the twenty bytes from each place, by their 64-bit hash: equal for equal blocks.
+
+    Two different windows pass for one only if the hashes of all blocks in which they differ collide.
+    """
     x = np.r_[data, np.zeros(STEP, np.uint8)].astype(np.uint64)
-    y = x[:-1] | x[1:] << np.uint64(8)
-    z = y[:-2] | y[2:] << np.uint64(16)
-    eight = (z[:-4] | z[4:] << np.uint64(32))[: len(data)]
-    two = y[8 : 8 + len(data)]
-    code = np.unique(eight, return_inverse=True)[1].astype(np.uint64)
-    return np.unique(code << np.uint64(16) | two, return_inverse=True)[1].astype(np.int64)
+    two = x[:-1] | x[1:] << np.uint64(8)
+    four = two[:-2] | two[2:] << np.uint64(16)
+    eight = four[:-4] | four[4:] << np.uint64(32)
+    n = len(data)
+    h = eight[:n] * ODD[0]
+    h ^= h >> np.uint64(32)
+    h += eight[8 : 8 + n] * ODD[1]
+    h ^= h >> np.uint64(29)
+    h *= ODD[2]
+    h += four[16 : 16 + n] * ODD[1]
+    h ^= h >> np.uint64(32)
+    return np.unique(h, return_inverse=True)[1].astype(np.int64)
 
 
 def repeats(body: list[bytes], order: np.ndarray) -> list[np.ndarray]:
@@ -311,7 +321,7 @@ def repeats(body: list[bytes], order: np.ndarray) -> list[np.ndarray]:
     size = np.array([len(b) for b in body])
     begin = np.cumsum(size) - size
     code = block_codes(data)
-    # Ten strings of blocks for each piece; symbols are laid out by string.
+    # A string of blocks for each phase of each piece; symbols are laid out by string.
     piece, phase = np.repeat(np.arange(len(body)), STEP), np.tile(np.arange(STEP), len(body))
     count = (size[piece] - phase) // STEP
     first = np.cumsum(count) - count
