@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parasol.llm.common import fresh, keep, parts
+from parasol.llm.common import batched, fresh, keep, parts
 from parasol.llm.text import FOLD_CASE
 
 BLOCK, WIDE_BLOCK = 1024, 8192  # fingerprints in a tile block
@@ -222,7 +222,12 @@ def with_components(docs: DataFrame, n: int = 3, radius: int = 3, words: int = 1
     rows = keep(fingerprints(rows, names, n).drop("text"))
     name = F.xxhash64(*names) if words > 1 else F.col("w0")
     fps = keep(rows.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("name", name))
+    # A row of a wide tile block holds up to 330 kB: few of them go into an Arrow batch.
+    spark, setting = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    batched(spark, 16 if words > 1 else int(usual))
     roots = components(near_links(fps.drop("least"), radius, wide)).select(F.col("node").alias("name"), "root")
+    batched(spark, int(usual))
     rooted = fps.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(rooted.join(smallest, "root").select(*names, "component_id"), names)
