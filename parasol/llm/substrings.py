@@ -242,16 +242,19 @@ class Columns:
 
 
 def _common(old: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least of old[a+1..b] for pairs a < b; 0 where a is -1."""
+    """Least of old[a+1..b] for pairs a < b; 0 where a is -1. By minima over runs of 1, 2, 4, ... entries."""
     out = np.zeros(len(a), np.int64)
     run = np.cumsum(old == 0)
     k = np.flatnonzero((a >= 0) & (b >= 0))
     k = k[run[a[k]] == run[b[k]]]  # in different runs a zero lies between
-    if len(k):
-        n = b[k] - a[k]
-        first = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(a[k] + 1, n)
-        out[k] = np.minimum.reduceat(old[at], first)
+    level, least = 0, old
+    power = np.log2(b[k] - a[k]).astype(np.int64)
+    for p in range(int(power.max(initial=-1)) + 1):
+        while level < p:
+            least = np.minimum(least[: -(1 << level)], least[1 << level :])
+            level += 1
+        j = k[power == p]
+        out[j] = np.minimum(least[a[j] + 1], least[b[j] + 1 - (1 << p)])
     return out
 
 
