@@ -108,8 +108,15 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, radius: int, wide: i
     """
     first = min(1, width - 1)
     tile, own, guests, held = None, np.zeros((0, width), np.uint64), [], 0
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # links of the block at hand, kept as a forest
 
-    def links(others: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+    def settled() -> Iterator[pa.RecordBatch]:
+        if found:
+            a, b = forest(*map(np.concatenate, zip(*found, strict=True)))
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def links(others: np.ndarray, same: bool) -> None:
         for i in range(0, len(own), STRIP):
             left = own[i : i + STRIP]
             for j in range(i if same else 0, len(others), STRIP):
@@ -122,8 +129,9 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, radius: int, wide: i
                     whole = np.bitwise_count(left[x, 1:] ^ right[y, 1:]).sum(axis=1, dtype=np.int64) <= wide
                     x, y = x[whole], y[whole]
                 if len(x):
-                    a, b = forest(left[x, 0].view(np.int64), right[y, 0].view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    found.append(forest(left[x, 0].view(np.int64), right[y, 0].view(np.int64)))
+                if sum(len(a) for a, _ in found) > 1 << 18:
+                    found[:] = [forest(*map(np.concatenate, zip(*found, strict=True)))]
 
     for batch in batches:
         key = batch.column(0).to_numpy() * (1 << 20) + batch.column(1).to_numpy()
@@ -135,19 +143,21 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, radius: int, wide: i
             block = flat[ends[i] : ends[j]].reshape(-1, width)
             if key[i] != tile:
                 if guests:
-                    yield from links(np.concatenate(guests), False)
+                    links(np.concatenate(guests), False)
+                yield from settled()
                 tile, own, guests, held = key[i], np.zeros((0, width), np.uint64), [], 0
             if home[i]:  # one row, so never cut by the end of a batch
                 own = block.copy()
-                yield from links(own, True)
+                links(own, True)
             else:
                 guests.append(block.copy())
                 held += len(block)
                 if held >= 1 << 16:
-                    yield from links(np.concatenate(guests), False)
+                    links(np.concatenate(guests), False)
                     guests, held = [], 0
     if guests:
-        yield from links(np.concatenate(guests), False)
+        links(np.concatenate(guests), False)
+    yield from settled()
 
 
 def near_links(fps: DataFrame, radius: int, wide: int | None = None) -> DataFrame:
