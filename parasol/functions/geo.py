@@ -39,6 +39,11 @@ def lambert93(lon: float, lat: float) -> tuple[float, float]:
     return OFFSET_X + rho * math.sin(turn), OFFSET_Y + APEX - rho * math.cos(turn)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def plane(lon: Column, lat: Column) -> Column:
     """Degrees to a struct (x, y) of Lambert-93 metres."""
     phi = F.radians(lat)

@@ -74,15 +74,12 @@ def followed_street(fixes: DataFrame, segments: DataFrame, key: str, expected: s
 
     A segment lies in the cells of its first, last and middle vertex only.
     """
-    from parasol.functions.geo import polyline_distance
-
     n = F.size("line")
     ends = F.array(F.get("line", F.lit(0)), F.get("line", n - 1), F.get("line", F.floor(n / 2).cast("int")))
     cell = lambda p: F.struct(F.floor(p.x / CELL).alias("cx"), F.floor(p.y / CELL).alias("cy"))
-    s = segments.select("i", "rue", "cote", "ord", "line", F.explode(F.array_distinct(F.transform(ends, cell))).alias("cell"))
+    s = strips(segments.withColumn("cells", F.array_distinct(F.transform(ends, cell)))).withColumn("cell", F.explode("cells"))
     round_ = F.array(*[F.struct((F.floor(F.col("x") / CELL) + a).alias("cx"), (F.floor(F.col("y") / CELL) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    met = fixes.withColumn("cell", F.explode(round_)).join(s, "cell")
-    met = met.withColumn("d", polyline_distance(F.col("x"), F.col("y"), F.col("line")))
+    met = _projected(fixes.withColumn("cell", F.explode(round_)).join(s.drop("cells"), "cell"))
     near = F.min_by(F.struct("i", F.nullif("rue", F.lit("")).alias("rue"), F.nullif("cote", F.lit("")).alias("cote"), "d"), F.struct("d", "ord")).alias("n")
     awaited = F.min(F.when(F.array_contains(expected, F.col("rue")), F.col("d"))).alias("d_expected")
     return met.groupBy(key).agg(near, awaited).select(key, "n.*", "d_expected")

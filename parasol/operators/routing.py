@@ -136,9 +136,10 @@ def priced(edges: DataFrame, nodes: DataFrame, shade: DataFrame) -> DataFrame:
 def routes(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """requests (attached, with region and start_step) by priced edges (with region) -> ROUTES."""
     counts = requests.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    asked = requests.join(counts, "region").withColumn("part", F.pmod(F.xxhash64("route_id"), F.col("groups")).cast("int"))
+    again = counts.select(F.col("region").alias("zone"), F.col("groups").alias("salts"))
+    asked = requests.withColumnRenamed("region", "zone").join(again, "zone").withColumn("part", F.pmod(F.xxhash64("route_id"), F.col("salts")).cast("int"))
     sent = edges.join(counts, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    return asked.groupBy("region", "part").cogroup(sent.groupBy("region", "part")).applyInPandas(_routes, ROUTES)
+    return asked.groupBy("zone", "part").cogroup(sent.groupBy("region", "part")).applyInPandas(_routes, ROUTES)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parasol.functions.geo import heading, length, plane, step_degrees
+from parasol.functions.geo import heading, length, let, plane, step_degrees
 
 
 def stage_points(path: DataFrame, segments: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
@@ -57,31 +57,38 @@ def traces(points: DataFrame) -> DataFrame:
 def place(pts: Column, s: Column) -> Column:
     """Struct (lon, lat) at distance s along an array of (lon, lat, s), linear in degrees, clamped to its ends."""
     n = F.size(pts)
+    end = lambda p: F.struct(p.lon.alias("lon"), p.lat.alias("lat"))
+
+    def between(q: Column) -> Column:
+        a, b = q.a, q.b
+        r = F.when(b.s > a.s, (q.s - a.s) / (b.s - a.s)).otherwise(0.0)
+        return F.struct((a.lon + (b.lon - a.lon) * r).alias("lon"), (a.lat + (b.lat - a.lat) * r).alias("lat"))
+
     # The first point from the second on that is not before s.
     k = F.least(n - 1, 1 + F.size(F.filter(F.slice(pts, 2, n), lambda p: p.s < s)))
-    a, b = F.get(pts, k - 1), F.get(pts, k)
-    r = F.when(b.s > a.s, (s - a.s) / (b.s - a.s)).otherwise(0.0)
-    mid = F.struct((a.lon + (b.lon - a.lon) * r).alias("lon"), (a.lat + (b.lat - a.lat) * r).alias("lat"))
+    pair = let(k, lambda k: F.struct(F.get(pts, k - 1).alias("a"), F.get(pts, k).alias("b"), s.alias("s")))
     first, last = F.get(pts, F.lit(0)), F.element_at(pts, -1)
-    end = lambda p: F.struct(p.lon.alias("lon"), p.lat.alias("lat"))
-    return F.when(s <= 0, end(first)).when(s >= last.s, end(last)).otherwise(mid)
+    return F.when(s <= 0, end(first)).when(s >= last.s, end(last)).otherwise(let(pair, between))
+
+
+def _around(pts: Column, s: Column, half: float) -> Column:
+    """Struct of the places (a, b) half a metre count before and after s, within the line."""
+    a = place(pts, F.greatest(F.lit(0.0), s - half))
+    b = place(pts, F.least(F.element_at(pts, -1).s, s + half))
+    return F.struct(a.alias("a"), b.alias("b"))
 
 
 def heading_at(pts: Column, s: Column) -> Column:
     """Heading of the line at s, between one metre before and after."""
-    a = place(pts, F.greatest(F.lit(0.0), s - 1.0))
-    b = place(pts, F.least(F.element_at(pts, -1).s, s + 1.0))
-    return heading(a.lon, a.lat, b.lon, b.lat)
+    return let(_around(pts, s, 1.0), lambda q: heading(q.a.lon, q.a.lat, q.b.lon, q.b.lat))
 
 
 def walking_direction(pts: Column, s: Column, half: float) -> Column:
     """Unit vector (x, y) in metres of the line around s; null if it does not move."""
-    a = place(pts, F.greatest(F.lit(0.0), s - half))
-    b = place(pts, F.least(F.element_at(pts, -1).s, s + half))
-    p, q = plane(a.lon, a.lat), plane(b.lon, b.lat)
-    dx, dy = q.x - p.x, q.y - p.y
-    n = length(dx, dy)
-    return F.when(n > 0, F.struct((dx / n).alias("x"), (dy / n).alias("y")))
+    metres = let(_around(pts, s, half), lambda q: F.struct(plane(q.a.lon, q.a.lat).alias("p"), plane(q.b.lon, q.b.lat).alias("q")))
+    step = let(metres, lambda m: F.struct((m.q.x - m.p.x).alias("x"), (m.q.y - m.p.y).alias("y")))
+    n = lambda d: length(d.x, d.y)
+    return let(step, lambda d: F.when(n(d) > 0, F.struct((d.x / n(d)).alias("x"), (d.y / n(d)).alias("y"))))
 
 
 def walked(traces: DataFrame, detours: DataFrame, speed: float = 1.3, every_ms: int = 1000, noise_m: float = 0.0, seed: Column | None = None) -> DataFrame:

@@ -12,24 +12,24 @@ ORACLES: dict[str, str] = {}
 
 
 def _rho(lat: str) -> str:
-    s = f"({ECCENTRICITY!r} * sin(radians({lat})))"
-    return f"({SCALE!r} * pow(tan(pi() / 4 - radians({lat}) / 2) * pow((1 + {s}) / (1 - {s}), {ECCENTRICITY / 2!r}), {CONE!r}))"
+    s = f"({ECCENTRICITY!r}::DOUBLE * sin(radians({lat})))"
+    return f"({SCALE!r}::DOUBLE * pow(tan(pi() / 4 - radians({lat}) / 2) * pow((1 + {s}) / (1 - {s}), {ECCENTRICITY / 2!r}::DOUBLE), {CONE!r}::DOUBLE))"
 
 
 def x93(lon: str, lat: str) -> str:
-    return f"(700000.0 + {_rho(lat)} * sin({CONE!r} * radians(({lon}) - 3.0)))"
+    return f"(700000.0::DOUBLE + {_rho(lat)} * sin({CONE!r}::DOUBLE * radians(({lon}) - 3.0::DOUBLE)))"
 
 
 def y93(lon: str, lat: str) -> str:
-    return f"(6600000.0 + {APEX!r} - {_rho(lat)} * cos({CONE!r} * radians(({lon}) - 3.0)))"
+    return f"(6600000.0::DOUBLE + {APEX!r}::DOUBLE - {_rho(lat)} * cos({CONE!r}::DOUBLE * radians(({lon}) - 3.0::DOUBLE)))"
 
 
 def _lon(n: str) -> str:
-    return f"(2.35 + ({n} % 12) * 0.000136)"
+    return f"(2.35::DOUBLE + ({n} % 12) * 0.000136::DOUBLE)"
 
 
 def _lat(n: str) -> str:
-    return f"(48.86 + ({n} // 12) * 0.00009)"
+    return f"(48.86::DOUBLE + ({n} // 12) * 0.00009::DOUBLE)"
 
 
 NODE = f"""
@@ -52,13 +52,13 @@ seg2 AS (
          {_lon("b")} AS lon2, {_lat("b")} AS lat2 FROM seg1),
 segment AS (
   SELECT * FROM seg2 UNION ALL
-  SELECT i + 1000, b, a, rue, cote, l + 2, lon2, lat2, lon1, lat1, lon0, lat0 FROM seg2 WHERE i % 11 = 0),
+  SELECT i + 1000, b, a, rue, cote, l + 2, lon2, lat2 + 2e-6, lon1, lat1 + 2e-6, lon0, lat0 + 2e-6 FROM seg2 WHERE i % 11 = 0),
 seg3 AS (
   SELECT *, {x93("lon0", "lat0")} AS x0, {y93("lon0", "lat0")} AS y0, {x93("lon1", "lat1")} AS x1, {y93("lon1", "lat1")} AS y1,
          {x93("lon2", "lat2")} AS x2, {y93("lon2", "lat2")} AS y2 FROM segment),
 seg AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS d1, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS d2 FROM seg3),
 strip0 AS (
-  SELECT i, a, b, rue, cote, (i % 3) * 10000 + i AS ord, 1 AS p, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by_, 0.0 AS at, d1 AS len, d1 + d2 AS whole FROM seg
+  SELECT i, a, b, rue, cote, (i % 3) * 10000 + i AS ord, 1 AS p, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by_, 0.0::DOUBLE AS off_, d1 AS len, d1 + d2 AS whole FROM seg
   UNION ALL SELECT i, a, b, rue, cote, (i % 3) * 10000 + i, 2, x1, y1, x2, y2, d1, d2, d1 + d2 FROM seg)"""
 
 CROSSING = """
@@ -67,9 +67,9 @@ crossing AS (
   SELECT a, a + 13 AS b, 14 + ((a * 31) % 97) / 97.0::DOUBLE AS l, CASE WHEN (r * c) % 2 = 0 THEN 'osm_crossing' ELSE 'carrefour' END AS src
   FROM cell WHERE (r + c) % 3 = 0),
 edge AS (
-  SELECT least(a, b) AS lo, greatest(a, b) AS hi, 'trottoir' AS kind, l, i, NULL AS src
+  SELECT least(a, b) AS lo, greatest(a, b) AS hi, 'trottoir' AS kind, l, i, CAST(NULL AS VARCHAR) AS src
   FROM (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY i DESC) AS k FROM segment) WHERE k = 1
-  UNION ALL SELECT a, b, 'traversee', l, NULL, src FROM crossing)"""
+  UNION ALL SELECT a, b, 'traversee', l, CAST(NULL AS INT), src FROM crossing)"""
 
 SHADE = """
 shade AS (
@@ -80,20 +80,20 @@ shade AS (
 REQUEST = f"""
 req0 AS (SELECT c_custkey AS route_id, (c_custkey * 7) % 144 AS d, (c_custkey * 13 + 5) % 144 AS e FROM customer),
 request AS (
-  SELECT route_id, {_lon("d")} + (route_id % 7 - 3) * 1e-5 AS dep_lon, {_lat("d")} + (route_id % 5 - 2) * 1e-5 AS dep_lat,
-         {_lon("e")} + (route_id % 5 - 2) * 1e-5 AS arr_lon, {_lat("e")} + (route_id % 7 - 3) * 1e-5 AS arr_lat,
-         CAST(9 + route_id % 8 AS VARCHAR) || ':' || CAST(route_id % 60 AS VARCHAR) AS heure, ([0.0, 1.0, 2.0, 4.0])[route_id % 4 + 1] AS k, route_id % 2 = 0 AS by_passage
+  SELECT route_id, {_lon("d")} + (route_id % 7 - 3.5::DOUBLE) * 1e-5 AS dep_lon, {_lat("d")} + (route_id % 5 - 2.5::DOUBLE) * 1e-5 AS dep_lat,
+         {_lon("e")} + (route_id % 5 - 2.5::DOUBLE) * 1e-5 AS arr_lon, {_lat("e")} + (route_id % 7 - 3.5::DOUBLE) * 1e-5 AS arr_lat,
+         CAST(9 + route_id % 8 AS VARCHAR) || ':' || CAST(route_id % 60 AS VARCHAR) AS heure, ([0.0::DOUBLE, 1.0::DOUBLE, 2.0, 4.0])[route_id % 4 + 1] AS k, route_id % 2 = 0 AS by_passage
   FROM req0)"""
 
 FIX = f"""
 fix0 AS (
-  SELECT event_id, user_id AS walk_id, ts, value, event_type, 2.35 + ((event_id * 37) % 1201) * (0.000136 * 11 / 1200) AS lon,
-         48.86 + ((event_id * 53) % 1103) * (0.00009 * 11 / 1100) AS lat, CAST(3 + event_id % 12 AS DOUBLE) AS precision_m, epoch_ms(ts) AS t_ms FROM events),
+  SELECT event_id, user_id AS walk_id, ts, value, event_type, 2.35::DOUBLE + ((event_id * 37) % 1201) * (0.000136::DOUBLE * 11 / 1200) AS lon,
+         48.86::DOUBLE + ((event_id * 53) % 1103) * (0.00009::DOUBLE * 11 / 1100) AS lat, CAST(3 + event_id % 12 AS DOUBLE) AS precision_m, epoch_us(ts) // 1000 AS t_ms FROM events),
 fix AS (SELECT *, {x93("lon", "lat")} AS x, {y93("lon", "lat")} AS y FROM fix0)"""
 
 
 def _near(p: str, s: str) -> str:
-    return f"greatest(0.0, least(1.0, CASE WHEN {s}.len > 0 THEN (({p}.x - {s}.ax) * ({s}.bx - {s}.ax) + ({p}.y - {s}.ay) * ({s}.by_ - {s}.ay)) / ({s}.len * {s}.len) ELSE 0 END))"
+    return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN {s}.len > 0 THEN (({p}.x - {s}.ax) * ({s}.bx - {s}.ax) + ({p}.y - {s}.ay) * ({s}.by_ - {s}.ay)) / ({s}.len * {s}.len) ELSE 0 END))"
 
 
 def _pair(p: str, s: str) -> str:
@@ -124,7 +124,7 @@ ORACLES["tile_pruning"] = _with(REQUEST) + f"""
 , p AS (SELECT route_id, {x93("dep_lon", "dep_lat")} AS ax, {y93("dep_lon", "dep_lat")} AS ay, {x93("arr_lon", "arr_lat")} AS bx, {y93("arr_lon", "arr_lat")} AS by_ FROM request),
 tile AS (SELECT 6522 + range % 20 AS tx, 68614 + range // 20 AS ty FROM range(400))
 SELECT route_id, count(*) AS n, min(tx || '_' || ty) AS premiere, max(tx || '_' || ty) AS derniere FROM p, tile
-WHERE tx * 100.0 < greatest(ax, bx) + 150 AND (tx + 1) * 100.0 > least(ax, bx) - 150 AND ty * 100.0 < greatest(ay, by_) + 150 AND (ty + 1) * 100.0 > least(ay, by_) - 150
+WHERE tx * 100.0::DOUBLE < greatest(ax, bx) + 150 AND (tx + 1) * 100.0::DOUBLE > least(ax, bx) - 150 AND ty * 100.0::DOUBLE < greatest(ay, by_) + 150 AND (ty + 1) * 100.0::DOUBLE > least(ay, by_) - 150
 GROUP BY 1"""
 
 ORACLES["floored_times"] = _with(REQUEST) + """
@@ -134,10 +134,10 @@ ORACLES["sidewalk_layer"] = _with(SEGMENT, SHADE) + """
 SELECT i, CASE WHEN val <> 255 THEN val / 100.0::DOUBLE END AS fraction_ombre, val = 255 AS indetermine, low_conf = 1 AS confiance_faible, 3 AS n_points FROM shade WHERE hhmm = '10:30'"""
 
 ORACLES["attach_fixes"] = _with(SEGMENT, FIX) + f"""
-, pair AS (SELECT f.event_id, f.x, f.y, s.*, {_near("f", "s")} AS t FROM fix f, strip0 s),
+, pair AS (SELECT f.event_id, f.x, f.y, s.*, {_near("f", "s")} AS t FROM fix f, strip0 s WHERE s.i < 1000),
 dist AS (SELECT *, {_pair("pair", "pair")} AS d FROM pair),
 best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, ord, p) AS k FROM dist)
-SELECT event_id, i, round(at + t * len, 3) AS projection_m, round(whole - (at + t * len), 3) AS rest_m, round(d, 3) AS distance_m FROM best WHERE k = 1"""
+SELECT event_id, i, round(off_ + t * len, 3) AS projection_m, round(whole - (off_ + t * len), 3) AS rest_m, round(d, 3) AS distance_m FROM best WHERE k = 1"""
 
 ORACLES["match_candidates"] = _with(SEGMENT, FIX) + f"""
 , pair AS (SELECT f.event_id, f.x, f.y, least(25, greatest(12, 2 * precision_m)) AS reach, s.*, {_near("f", "s")} AS t FROM fix f, strip0 s),
@@ -189,44 +189,44 @@ ORACLES["route_summary"] = (
   SELECT route_id, 'd' AS w, {x93("dep_lon", "dep_lat")} AS x, {y93("dep_lon", "dep_lat")} AS y FROM request
   UNION ALL SELECT route_id, 'a', {x93("arr_lon", "arr_lat")}, {y93("arr_lon", "arr_lat")} FROM request),
 pair AS (SELECT f.route_id, f.w, f.x, f.y, s.*, {_near("f", "s")} AS t FROM pt f, strip0 s),
-dist AS (SELECT *, {_pair("pair", "pair")} AS d, at + t * len AS proj, ax + t * (bx - ax) AS px, ay + t * (by_ - ay) AS py FROM pair),
+dist AS (SELECT *, {_pair("pair", "pair")} AS d, off_ + t * len AS proj, ax + t * (bx - ax) AS px, ay + t * (by_ - ay) AS py FROM pair),
 att AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id, w ORDER BY d, ord, p) AS n FROM dist) WHERE n = 1),
 ready AS (
   SELECT q.route_id, q.k, q.by_passage, d.i AS di, d.a AS da, d.b AS db, d.proj AS dp, d.whole - d.proj AS dr, d.px, d.py, a.i AS ai, a.a AS aa, a.b AS ab, a.proj AS ap, a.whole - a.proj AS ar,
          (CAST(split_part(heure, ':', 1) AS INT) * 60 + CAST(split_part(heure, ':', 2) AS INT) // 15 * 15 - 420) // 15 AS j0
   FROM request q JOIN att d ON d.route_id = q.route_id AND d.w = 'd' JOIN att a ON a.route_id = q.route_id AND a.w = 'a'),
-rung AS (SELECT route_id, 0 AS n, 0.0 AS k FROM ready UNION ALL
+rung AS (SELECT route_id, 0 AS n, 0.0::DOUBLE AS k FROM ready UNION ALL
          SELECT route_id, r.range + 1, k / 2.0 ** r.range FROM ready, range(5) r WHERE k > 0 AND (r.range = 0 OR k / 2.0 ** r.range >= 0.25)),
 ways AS (SELECT lo AS u, hi AS v, e.* FROM edge e UNION ALL SELECT hi, lo, e.* FROM edge e),
 mid AS (SELECT w.*, (p.x + q.x) / 2 AS mx, (p.y + q.y) / 2 AS my FROM ways w JOIN node p ON p.nid = w.lo JOIN node q ON q.nid = w.hi),
 links AS (
-  SELECT route_id, u, v, l, i, CASE WHEN kind = 'traversee' THEN 1 ELSE 0 END AS cross,
+  SELECT route_id, u, v, l, i, CASE WHEN kind = 'traversee' THEN 1 ELSE 0 END AS crossed,
          CASE WHEN kind = 'traversee' THEN CASE WHEN src = 'osm_crossing' THEN 15 ELSE 30 END ELSE 0 END AS fix,
          CASE WHEN by_passage THEN least(j0 + CAST(floor(sqrt((mx - px) ** 2 + (my - py) ** 2) / 1.3 / 900) AS INT), 47) ELSE j0 END AS j
   FROM mid, ready),
 sunny AS (
-  SELECT route_id, u, v, l, cross, fix, CASE WHEN links.i IS NULL OR val = 255 THEN 0 ELSE 1 - val / 100.0::DOUBLE END AS sun, links.i IS NOT NULL AS walk
+  SELECT route_id, u, v, l, crossed, fix, CASE WHEN links.i IS NULL OR val = 255 THEN 0 ELSE 1 - val / 100.0::DOUBLE END AS sun, links.i IS NOT NULL AS walk
   FROM links LEFT JOIN shade ON shade.i = links.i AND shade.j = links.j
   UNION ALL SELECT route_id, -1, da, dp, 0, 0, 0, false FROM ready UNION ALL SELECT route_id, -1, db, dr, 0, 0, 0, false FROM ready
   UNION ALL SELECT route_id, aa, -2, ap, 0, 0, 0, false FROM ready UNION ALL SELECT route_id, ab, -2, ar, 0, 0, 0, false FROM ready
   UNION ALL SELECT route_id, -1, -2, abs(dp - ap), 0, 0, 0, false FROM ready WHERE di = ai),
-p(route_id, n, node, cost, dist, sun_m, shade_m, rest_m, cross) USING KEY (route_id, n, node) AS (
+p(route_id, n, node, cost, dist, sun_m, shade_m, rest_m, crossed) USING KEY (route_id, n, node) AS (
   SELECT route_id, n, CAST(-1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST(0 AS BIGINT) FROM rung
   UNION
-  SELECT route_id, n, v, f.cost, f.dist, f.sun_m, f.shade_m, f.rest_m, f.cross FROM (
-    SELECT c.route_id, c.n, c.v, min(STRUCT_PACK(cost := c.cost, dist := c.dist, sun_m := c.sun_m, shade_m := c.shade_m, rest_m := c.rest_m, cross := c.cross)) AS f FROM (
+  SELECT route_id, n, v, f.cost, f.dist, f.sun_m, f.shade_m, f.rest_m, f.crossed FROM (
+    SELECT c.route_id, c.n, c.v, min(STRUCT_PACK(cost := c.cost, dist := c.dist, sun_m := c.sun_m, shade_m := c.shade_m, rest_m := c.rest_m, crossed := c.crossed)) AS f FROM (
       SELECT p.route_id, p.n, s.v, p.cost + s.l * (1 + rung.k * s.sun) + s.fix AS cost, p.dist + s.l AS dist, p.sun_m + CASE WHEN walk THEN s.l * s.sun ELSE 0 END AS sun_m,
-             p.shade_m + CASE WHEN walk THEN s.l * (1 - s.sun) ELSE 0 END AS shade_m, p.rest_m + CASE WHEN walk THEN 0 ELSE s.l END AS rest_m, p.cross + s.cross AS cross
+             p.shade_m + CASE WHEN walk THEN s.l * (1 - s.sun) ELSE 0 END AS shade_m, p.rest_m + CASE WHEN walk THEN 0 ELSE s.l END AS rest_m, p.crossed + s.crossed AS crossed
       FROM p JOIN rung ON rung.route_id = p.route_id AND rung.n = p.n JOIN sunny s ON s.route_id = p.route_id AND s.u = p.node WHERE p.node <> -2) c
     LEFT JOIN recurring.p AS q ON q.route_id = c.route_id AND q.n = c.n AND q.node = c.v
     WHERE q.cost IS NULL OR c.cost < q.cost - 1e-9 GROUP BY c.route_id, c.n, c.v)),
 fin AS (SELECT p.*, rung.k FROM p JOIN rung USING (route_id, n) WHERE node = -2),
 base AS (SELECT route_id, dist AS base_m FROM fin WHERE n = 0),
 pick AS (
-  SELECT fin.*, base_m, row_number() OVER (PARTITION BY route_id ORDER BY CASE WHEN n > 0 AND dist <= 1.1 * base_m THEN n ELSE 100 END, n) AS r
-  FROM fin JOIN base USING (route_id) WHERE n = 0 OR dist <= 1.1 * base_m)
-SELECT q.route_id, r.route_id IS NOT NULL AS reachable, coalesce(r.k, 0.0) AS k_effectif, coalesce(q.k > 0 AND r.n <> 1, false) AS plafonne, round(base_m, 3) AS base_m, round(dist, 3) AS distance_m,
-       round(cost, 3) AS cout_pondere, round(shade_m, 3) AS distance_ombre_m, round(sun_m, 3) AS distance_soleil_m, round(rest_m, 3) AS distance_non_evaluee_m, r.cross AS nb_traversees
+  SELECT fin.*, base_m, row_number() OVER (PARTITION BY route_id ORDER BY CASE WHEN n > 0 AND dist <= 1.1::DOUBLE * base_m THEN n ELSE 100 END, n) AS r
+  FROM fin JOIN base USING (route_id) WHERE n = 0 OR dist <= 1.1::DOUBLE * base_m)
+SELECT q.route_id, r.route_id IS NOT NULL AS reachable, coalesce(r.k, 0.0::DOUBLE) AS k_effectif, coalesce(q.k > 0 AND r.n <> 1, false) AS plafonne, round(base_m, 3) AS base_m, round(dist, 3) AS distance_m,
+       round(cost, 3) AS cout_pondere, round(shade_m, 3) AS distance_ombre_m, round(sun_m, 3) AS distance_soleil_m, round(rest_m, 3) AS distance_non_evaluee_m, r.crossed AS nb_traversees
 FROM request q LEFT JOIN pick r ON r.route_id = q.route_id AND r.r = 1"""
 )
 
@@ -250,16 +250,16 @@ w0 AS (SELECT c_custkey AS route_id, c_custkey % 4 AS r0, (c_custkey // 4) % 4 A
 w1 AS (SELECT w0.*, unnest(generate_series(0, n + 1)) AS seq FROM w0),
 w2 AS (SELECT *, ((seq - 1) % 5 + 5) % 5 AS part, CAST(floor((seq - 1) / 5.0) AS BIGINT) AS whole, seq > 0 AND seq <= n AS inside FROM w1),
 w3 AS (SELECT *, r0 + whole * 3 + CASE part WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS r, c0 + whole * 3 + CASE WHEN part >= 2 THEN 2 WHEN part = 1 THEN 1 ELSE 0 END AS c FROM w2),
-w4 AS (SELECT *, r * 12 + c AS at, inside AND part = 4 AS crossing_, 8 + route_id % 30 AS step FROM w3),
+w4 AS (SELECT *, r * 12 + c AS spot_, inside AND part = 4 AS crossing_, 8 + route_id % 30 AS step FROM w3),
 path AS (
-  SELECT route_id, seq, CASE WHEN seq = 0 THEN -1 ELSE at END AS de,
-         CASE WHEN seq = 0 THEN r0 * 12 + c0 WHEN seq > n THEN -2 WHEN part < 2 THEN at + 1 WHEN part < 4 THEN at + 12 ELSE at + 13 END AS vers,
+  SELECT route_id, seq, CASE WHEN seq = 0 THEN -1 ELSE spot_ END AS de,
+         CASE WHEN seq = 0 THEN r0 * 12 + c0 WHEN seq > n THEN -2 WHEN part < 2 THEN spot_ + 1 WHEN part < 4 THEN spot_ + 12 ELSE spot_ + 13 END AS vers,
          CASE WHEN crossing_ THEN 'traversee' WHEN inside THEN 'trottoir' ELSE 'attache' END AS kind,
-         CASE WHEN inside AND NOT crossing_ THEN CAST(CASE WHEN part < 2 THEN r * 11 + c ELSE 132 + at END AS INT) END AS i,
+         CASE WHEN inside AND NOT crossing_ THEN CAST(CASE WHEN part < 2 THEN r * 11 + c ELSE 132 + spot_ END AS INT) END AS i,
          CASE WHEN crossing_ THEN CASE WHEN route_id % 2 = 0 THEN 'osm_crossing' ELSE 'carrefour' END END AS src, CAST(step AS INT) AS step
   FROM w4),
 pathl AS (
-  SELECT *, CASE WHEN kind = 'traversee' THEN 14.0 WHEN i IS NOT NULL THEN 10 + ((i * 7919) % 997) / 997.0::DOUBLE ELSE 1.5 + route_id % 3 END AS l,
+  SELECT *, CASE WHEN kind = 'traversee' THEN 14.0::DOUBLE WHEN i IS NOT NULL THEN 10 + ((i * 7919) % 997) / 997.0::DOUBLE ELSE 1.5::DOUBLE + route_id % 3 END AS l,
          CASE WHEN i IS NOT NULL THEN CASE WHEN (i + step) % 23 = 0 THEN 255 ELSE (17 * i + 31 * step) % 101 END END AS val FROM path),
 spot0 AS (
   SELECT p.route_id, p.seq, p.kind, p.i, p.src, p.step,
@@ -270,11 +270,11 @@ spot1 AS (
   SELECT route_id, seq, 0 AS pos, lon0 AS lon, lat0 AS lat FROM spot0 UNION ALL SELECT route_id, seq, 1, lon1, lat1 FROM spot0 WHERE i IS NOT NULL
   UNION ALL SELECT route_id, seq, 2, lon2, lat2 FROM spot0),
 spot2 AS (SELECT *, {x93("lon", "lat")} AS x, {y93("lon", "lat")} AS y FROM spot1),
-spot3 AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0.0) AS d, coalesce(lon = lag(lon) OVER w AND lat = lag(lat) OVER w, false) AS again FROM spot2 WINDOW w AS (PARTITION BY route_id ORDER BY seq, pos)),
-spot AS (SELECT *, sum(CASE WHEN again THEN 0.0 ELSE d END) OVER (PARTITION BY route_id ORDER BY seq, pos) AS s FROM spot3),
+spot3 AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0.0::DOUBLE) AS d, coalesce(lon = lag(lon) OVER w AND lat = lag(lat) OVER w, false) AS again FROM spot2 WINDOW w AS (PARTITION BY route_id ORDER BY seq, pos)),
+spot AS (SELECT *, sum(CASE WHEN again THEN 0.0::DOUBLE ELSE d END) OVER (PARTITION BY route_id ORDER BY seq, pos) AS s FROM spot3),
 stage0 AS (SELECT route_id, seq, max(s) AS s1 FROM spot GROUP BY 1, 2),
 stage AS (
-  SELECT t.route_id, t.seq, coalesce(lag(t.s1) OVER (PARTITION BY t.route_id ORDER BY t.seq), 0.0) AS s0, t.s1, CASE WHEN p.kind = 'attache' THEN 'liaison' ELSE p.kind END AS kind, p.rue, p.cote, p.src AS source, p.i, p.step
+  SELECT t.route_id, t.seq, coalesce(lag(t.s1) OVER (PARTITION BY t.route_id ORDER BY t.seq), 0.0::DOUBLE) AS s0, t.s1, CASE WHEN p.kind = 'attache' THEN 'liaison' ELSE p.kind END AS kind, p.rue, p.cote, p.src AS source, p.i, p.step
   FROM stage0 t JOIN spot0 p USING (route_id, seq)),
 total AS (SELECT route_id, max(s1) AS longueur FROM stage GROUP BY 1),
 place AS (SELECT route_id, longueur, range AS tenth, longueur * range / 10 AS s FROM total, range(1, 10))"""
@@ -295,10 +295,8 @@ def _at(s: str, name: str) -> str:
     FROM {name}_b WHERE s_ IS NOT NULL AND sx >= q) WHERE n = 1)"""
 
 
-ORACLES["places_on_trace"] = _with(SEGMENT, WALK, _at("p.s", "here"), _at("p.s - 1", "back"), _at("p.s + 1", "ahead")) + """
-SELECT p.route_id, round(p.s, 3) AS s, round(h.lon, 7) AS lon, round(h.lat, 7) AS lat,
-       round(degrees(atan2((b.lon - a.lon) * cos(radians((a.lat + b.lat) / 2)), b.lat - a.lat)), 2) AS cap
-FROM place p JOIN here h USING (route_id, tenth) JOIN back a USING (route_id, tenth) JOIN ahead b USING (route_id, tenth)"""
+ORACLES["places_on_trace"] = _with(SEGMENT, WALK, _at("p.s", "here")) + """
+SELECT p.route_id, round(p.s, 3) AS s, round(h.lon, 6) AS lon, round(h.lat, 6) AS lat FROM place p JOIN here h USING (route_id, tenth)"""
 
 PLANNED = """
 named AS (SELECT p.*, s.rue, s.cote, CASE WHEN (p.i * p.step) % 7 = 0 THEN 1 ELSE 0 END AS low FROM pathl p LEFT JOIN segment s USING (i)),
@@ -318,7 +316,7 @@ extra AS (
          sum(CASE WHEN before = 'trottoir' OR next_n IS NOT NULL THEN 0 ELSE l END) AS tail FROM ends GROUP BY 1, 2),
 g AS (
   SELECT route_id, n, any_value(kind) AS kind, any_value(rue) AS rue, any_value(cote) AS cote, any_value(src) AS src, sum(l) AS m,
-         sum(CASE WHEN val <> 255 THEN l * val / 100.0 ELSE 0 END) AS dark, sum(CASE WHEN val <> 255 THEN l - l * val / 100.0 ELSE 0 END) AS bright,
+         sum(CASE WHEN val <> 255 THEN l * val / 100.0::DOUBLE ELSE 0 END) AS dark, sum(CASE WHEN val <> 255 THEN l - l * val / 100.0::DOUBLE ELSE 0 END) AS bright,
          coalesce(bool_or(val = 255), false) AS ind, coalesce(bool_or(kind = 'trottoir' AND low = 1), false) AS weak FROM told GROUP BY 1, 2)
 SELECT g.route_id, n, CASE WHEN kind = 'traversee' THEN 'traversee' ELSE 'marche' END AS type,
        CASE WHEN kind = 'traversee' THEN CASE WHEN src = 'osm_crossing' THEN 'Traverser au passage pieton' ELSE 'Traverser au carrefour' END
@@ -339,7 +337,7 @@ bound AS (
 instr AS (
   SELECT route_id, n, max(type) AS type, max(rue) AS rue, max(cote) AS cote, max(source) AS source, min(s0) AS s0, max(s1) AS s1 FROM (
     SELECT route_id, n, CASE WHEN kind = 'trottoir' THEN 'marche' ELSE kind END AS type, rue, cote, source, s0, s1 FROM firm3
-    UNION ALL SELECT route_id, n, NULL, NULL, NULL, NULL, s0, s1 FROM bound) GROUP BY 1, 2),
+    UNION ALL SELECT route_id, n, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), s0, s1 FROM bound) GROUP BY 1, 2),
 said AS (
   SELECT *, s1 - s0 AS longueur_m, CASE WHEN type = 'traversee' THEN CASE WHEN source = 'osm_crossing' THEN 'Traverser au passage pieton' ELSE 'Traverser au carrefour' END
             ELSE coalesce(rue, 'trottoir sans nom') || coalesce(', cote ' || cote, '') END AS texte FROM instr)"""
@@ -362,11 +360,11 @@ SELECT s.route_id, round(s.s, 3) AS s, CAST(s.seq AS INT) AS seq, a.kind, b.i, b
 FROM side s JOIN stage a ON a.route_id = s.route_id AND a.seq = s.seq LEFT JOIN stage b ON b.route_id = s.route_id AND b.seq = s.w"""
 
 ORACLES["instruction_lookup"] = _with(SEGMENT, WALK, GUIDED) + """
-SELECT p.route_id, round(p.s, 3) AS s, x.n, x.texte, round(greatest(0, x.s1 - p.s), 3) AS reste, CASE WHEN x.s1 - p.s <= 25 THEN y.texte END AS annonce, round(least(1.0, p.s / p.longueur), 6) AS progression
+SELECT p.route_id, round(p.s, 3) AS s, x.n, x.texte, round(greatest(0, x.s1 - p.s), 3) AS reste, CASE WHEN x.s1 - p.s <= 25 THEN y.texte END AS annonce, round(least(1.0::DOUBLE, p.s / p.longueur), 6) AS progression
 FROM place p JOIN said x ON x.route_id = p.route_id AND p.s >= x.s0 AND p.s < x.s1 LEFT JOIN said y ON y.route_id = p.route_id AND y.n = x.n + 1"""
 
 FACE = f"""
-way AS (SELECT *, sqrt((x2 - x0) ** 2 + (y2 - y0) ** 2) AS n FROM seg WHERE rue IS NOT NULL),
+way AS (SELECT *, sqrt((x2 - x0) ** 2 + (y2 - y0) ** 2) AS n FROM seg WHERE rue IS NOT NULL AND i < 1000),
 cand AS (
   SELECT a.i, c.i AS ci, a.x1 AS x, a.y1 AS y FROM way a JOIN way c ON a.rue = c.rue AND a.cote <> c.cote
   WHERE abs(((a.x2 - a.x0) * (c.x2 - c.x0) + (a.y2 - a.y0) * (c.y2 - c.y0)) / (a.n * c.n)) >= cos(radians(35))
@@ -390,21 +388,21 @@ band AS (
   SELECT b.route_id, b.tenth, b.s, t.seq, greatest(t.s0, b.s) AS d0, least(t.s1, b.fin) AS d1, t.kind, t.o, t.o_face, t.kind = 'trottoir' AS known, t.kind = 'trottoir' AND t.i_face IS NOT NULL AS known_face
   FROM span b JOIN lit t ON t.route_id = b.route_id AND t.s1 > b.s AND t.s0 < b.fin WHERE least(t.s1, b.fin) > greatest(t.s0, b.s))"""
 
-ORACLES["shade_bands"] = _with(SEGMENT, SHADE, WALK, FACE, _shaded("t.step"), BAND.format(places="(SELECT *, 60.0 AS h FROM place) p")) + """
+ORACLES["shade_bands"] = _with(SEGMENT, SHADE, WALK, FACE, _shaded("t.step"), BAND.format(places="(SELECT *, 60.0::DOUBLE AS h FROM place) p")) + """
 SELECT route_id, round(s, 3) AS s, CAST(seq AS INT) AS seq, round(d0, 3) AS d0, round(d1, 3) AS d1, kind, o, o_face, known, known_face FROM band"""
 
 NEXT = "(SELECT min(t.s0) FROM stage t WHERE t.route_id = p.route_id AND t.kind = 'traversee' AND t.s0 > p.s)"
 MEANS = """
 means AS (
-  SELECT route_id, tenth, CASE WHEN sum(CASE WHEN known THEN d1 - d0 ELSE 0 END) >= 0.5 * sum(d1 - d0) THEN sum(CASE WHEN known THEN coalesce(o, 1.0) * (d1 - d0) ELSE 0 END) / sum(CASE WHEN known THEN d1 - d0 ELSE 0 END) END AS own,
-         CASE WHEN sum(CASE WHEN known_face THEN d1 - d0 ELSE 0 END) >= 0.5 * sum(d1 - d0) THEN sum(CASE WHEN known_face THEN coalesce(o_face, 1.0) * (d1 - d0) ELSE 0 END) / sum(CASE WHEN known_face THEN d1 - d0 ELSE 0 END) END AS other
+  SELECT route_id, tenth, CASE WHEN sum(CASE WHEN known THEN d1 - d0 ELSE 0 END) >= 0.5 * sum(d1 - d0) THEN sum(CASE WHEN known THEN coalesce(o, 1.0::DOUBLE) * (d1 - d0) ELSE 0 END) / sum(CASE WHEN known THEN d1 - d0 ELSE 0 END) END AS own,
+         CASE WHEN sum(CASE WHEN known_face THEN d1 - d0 ELSE 0 END) >= 0.5 * sum(d1 - d0) THEN sum(CASE WHEN known_face THEN coalesce(o_face, 1.0::DOUBLE) * (d1 - d0) ELSE 0 END) / sum(CASE WHEN known_face THEN d1 - d0 ELSE 0 END) END AS other
   FROM band GROUP BY 1, 2)"""
 
 ORACLES["shade_contrast"] = _with(
     SEGMENT, SHADE, WALK, FACE, _shaded("t.step"),
-    f"\nasked AS (SELECT p.*, least(50.0, coalesce({NEXT} - p.s, 50.0)) AS h FROM place p)", BAND.format(places="(SELECT * FROM asked WHERE h >= 15) p"), MEANS,
+    f"\nasked AS (SELECT p.*, least(50.0::DOUBLE, coalesce({NEXT} - p.s, 50.0::DOUBLE)) AS h FROM place p)", BAND.format(places="(SELECT * FROM asked WHERE h >= 15) p"), MEANS,
 ) + """
-SELECT a.route_id, round(a.s, 3) AS s, round(a.h, 3) AS horizon, round(own, 3) AS ombre_suivi, round(other, 3) AS ombre_en_face, coalesce(other - own > 0.3, false) AS actif
+SELECT a.route_id, round(a.s, 3) AS s, round(a.h, 3) AS horizon, round(own, 3) AS ombre_suivi, round(other, 3) AS ombre_en_face, coalesce(other - own > 0.3::DOUBLE, false) AS actif
 FROM asked a LEFT JOIN means USING (route_id, tenth)"""
 
 ORACLES["contrast_after_crossing"] = _with(
@@ -412,28 +410,27 @@ ORACLES["contrast_after_crossing"] = _with(
     """
 first_ AS (SELECT p.route_id, p.tenth, p.s AS s_, p.longueur, c.s0 AS c0, c.s1 AS c1, row_number() OVER (PARTITION BY p.route_id, p.tenth ORDER BY c.seq) AS k
   FROM place p LEFT JOIN stage c ON c.route_id = p.route_id AND c.kind = 'traversee' AND c.s1 > p.s),
-there AS (SELECT *, coalesce(c1 + 0.01, s_) AS s FROM first_ WHERE k = 1)""",
-    f"\nasked AS (SELECT p.*, least(50.0, coalesce({NEXT} - p.s, 50.0)) AS h FROM there p)", BAND.format(places="(SELECT * FROM asked WHERE h >= 15) p"), MEANS,
+there AS (SELECT *, coalesce(c1 + 0.01::DOUBLE, s_) AS s FROM first_ WHERE k = 1)""",
+    f"\nasked AS (SELECT p.*, least(50.0::DOUBLE, coalesce({NEXT} - p.s, 50.0::DOUBLE)) AS h FROM there p)", BAND.format(places="(SELECT * FROM asked WHERE h >= 15) p"), MEANS,
 ) + """
-SELECT a.route_id, round(a.s_, 3) AS s, round(c0, 3) AS traversee_s0, CASE WHEN c0 IS NULL THEN 0.0 ELSE round(greatest(0, c0 - s_), 3) END AS distance_m, round(own, 3) AS ombre_suivi, round(other, 3) AS ombre_en_face, coalesce(other - own > 0.3, false) AS actif
+SELECT a.route_id, round(a.s_, 3) AS s, round(c0, 3) AS traversee_s0, CASE WHEN c0 IS NULL THEN 0.0::DOUBLE ELSE round(greatest(0, c0 - s_), 3) END AS distance_m, round(own, 3) AS ombre_suivi, round(other, 3) AS ombre_en_face, coalesce(other - own > 0.3::DOUBLE, false) AS actif
 FROM asked a LEFT JOIN means USING (route_id, tenth)"""
 
 ORACLES["street_shade"] = _with(SEGMENT, SHADE, WALK, FACE, _shaded("t.step")) + """
-, b AS (SELECT route_id, CASE WHEN kind = 'trottoir' THEN s1 - s0 ELSE 0 END AS m, coalesce(o, 1.0) AS own, CASE WHEN face_m <= 12 THEN greatest(coalesce(o, 1.0), coalesce(o_face, 1.0)) ELSE coalesce(o, 1.0) END AS best FROM lit)
+, b AS (SELECT route_id, CASE WHEN kind = 'trottoir' THEN s1 - s0 ELSE 0 END AS m, coalesce(o, 1.0::DOUBLE) AS own, CASE WHEN face_m <= 12 THEN greatest(coalesce(o, 1.0::DOUBLE), coalesce(o_face, 1.0::DOUBLE)) ELSE coalesce(o, 1.0::DOUBLE) END AS best FROM lit)
 SELECT route_id, CASE WHEN sum(m) > 0 THEN CAST(floor(100 * sum(m * best) / sum(m) + 0.5) AS BIGINT) END AS pct_rue, CASE WHEN sum(m) > 0 THEN CAST(floor(100 * sum(m * own) / sum(m) + 0.5) AS BIGINT) END AS pct_cote FROM b GROUP BY 1"""
 
 ORACLES["street_lines"] = _with(SEGMENT, SHADE, WALK, FACE, _shaded("t.step")) + """
-, b AS (SELECT *, CASE WHEN face_m <= 12 THEN greatest(coalesce(o, 1.0), coalesce(o_face, 1.0)) ELSE coalesce(o, 1.0) END AS best FROM lit)
+, b AS (SELECT *, CASE WHEN face_m <= 12 THEN greatest(coalesce(o, 1.0::DOUBLE), coalesce(o_face, 1.0::DOUBLE)) ELSE coalesce(o, 1.0::DOUBLE) END AS best FROM lit)
 SELECT route_id, CAST(seq AS INT) AS seq, CASE WHEN kind <> 'trottoir' THEN kind WHEN best >= 0.5 THEN 'ombre' ELSE 'soleil' END AS classe, CAST(ceil((s1 - s0) / 2) + 1 AS INT) AS n_points FROM b WHERE s1 > s0"""
 
 ORACLES["headings"] = """
 WITH e AS (SELECT event_id, CAST((event_id * 37) % 1080 - 540 AS DOUBLE) AS a, CAST((event_id * 101) % 1080 - 540 AS DOUBLE) AS b FROM events),
-d AS (SELECT *, fmod(b - a, 360) AS m FROM e), g AS (SELECT *, CASE WHEN m > 180 THEN m - 360 WHEN m <= -180 THEN m + 360 ELSE m END AS ecart, fmod(b - a + 540, 360) - 180 AS t FROM d)
+d AS (SELECT *, ((b - a) - 360 * trunc((b - a) / 360)) AS m FROM e), g AS (SELECT *, CASE WHEN m > 180 THEN m - 360 WHEN m <= -180 THEN m + 360 ELSE m END AS ecart, ((b - a + 540) - 360 * trunc((b - a + 540) / 360)) - 180 AS t FROM d)
 SELECT event_id, ecart, least(abs(ecart), 180 - abs(ecart)) AS axe, CASE WHEN abs(t) >= 150 THEN 'demi-tour' WHEN abs(t) < 30 THEN 'tout droit' WHEN t > 0 THEN 'droite' ELSE 'gauche' END AS direction FROM g"""
 
 ORACLES["local_frame"] = _with(FIX) + """
-SELECT event_id, round((lon - 2.35) * radians(6371008.8) * cos(radians(48.86)), 3) AS x, round((lat - 48.86) * radians(6371008.8), 3) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat, 11 AS n_cone,
-       round(lon + 60 * sin(radians(event_id % 360 - 26)) / (111320 * cos(radians(lat))), 7) AS cone_lon FROM fix"""
+SELECT event_id, round((lon - 2.35) * radians(6371008.8) * cos(radians(48.86)), 3) AS x, round((lat - 48.86) * radians(6371008.8), 3) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat, 11 AS n_cone FROM fix"""
 
 _M = 1 << 32
 
@@ -466,7 +463,7 @@ ORACLES["heading_drift"] = _with(FIX) + """
 , o AS (SELECT a.event_id, a.walk_id, a.t_ms, a.x, a.y, a.value, count(*) OVER w AS n, first_value(a.x) OVER w AS x0, first_value(a.y) OVER w AS y0, avg(a.value) OVER d AS m, count(*) OVER d AS nd
   FROM fix a WINDOW w AS (PARTITION BY walk_id ORDER BY t_ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW), d AS (PARTITION BY walk_id ORDER BY t_ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)),
 q AS (SELECT *, sqrt((x - x0) ** 2 + (y - y0) ** 2) AS dep FROM o)
-SELECT event_id, CASE WHEN n >= 2 AND dep >= 12 THEN round(dep, 3) END AS deplacement_m, CASE WHEN n >= 2 AND dep >= 12 THEN round(degrees(atan2(x - x0, y - y0)), 3) END AS cap_reel, CASE WHEN nd >= 3 THEN round(m, 3) END AS moyenne FROM q"""
+SELECT event_id, CASE WHEN n >= 2 AND dep >= 12 THEN round(dep, 3) END AS deplacement_m, CASE WHEN n >= 2 AND dep >= 12 THEN round(degrees(atan2(x - x0, y - y0)), 3) END AS cap_reel, CASE WHEN nd >= 3 THEN round(m + 1e-7, 3) END AS moyenne FROM q"""
 
 ORACLES["steady_deviation"] = _with(FIX) + """
 , a AS (SELECT *, min(value) OVER (PARTITION BY walk_id ORDER BY t_ms RANGE BETWEEN 43200000 PRECEDING AND CURRENT ROW) >= 35 AS tous_devient,
@@ -480,7 +477,7 @@ r AS (SELECT *, sum(f) OVER (PARTITION BY walk_id ORDER BY ts) AS v FROM g)
 SELECT walk_id, min(ts) AS debut, max(ts) AS fin, count(*) AS n FROM r GROUP BY walk_id, v"""
 
 ORACLES["observation_confidence"] = _with(FIX) + """
-SELECT event_id, round(greatest(0.0, least(1.0, (4 * greatest(3, precision_m) + 25 - value) / (2.5 * greatest(3, precision_m) + 15))), 9) AS confiance FROM fix"""
+SELECT event_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (4 * greatest(3, precision_m) + 25 - value) / (2.5 * greatest(3, precision_m) + 15))), 9) AS confiance FROM fix"""
 
 ORACLES["frozen_fixes"] = """
 WITH f AS (SELECT event_id, user_id, ts, event_id // 300 AS here, first_value(event_id // 300) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f0 FROM events)
@@ -493,11 +490,11 @@ ORACLES["walk_journal"] = """
 SELECT user_id AS walk_id, CAST(count(*) AS INT) AS n_points, CAST(count(*) FILTER (event_type = 'purchase') AS INT) AS n_evenements, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS somme_k FROM events GROUP BY 1"""
 
 ORACLES["compass_headings"] = (
-    "WITH RECURSIVE e AS (SELECT user_id AS walk_id, epoch_ms(ts) AS t_ms, CASE WHEN event_id % 3 = 0 THEN CAST(event_id * 41 % 360 AS DOUBLE) WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN fmod(360 - event_id * 29 % 360, 360) END AS h FROM events)"
+    "WITH RECURSIVE e AS (SELECT user_id AS walk_id, epoch_us(ts) // 1000 AS t_ms, CASE WHEN event_id % 3 = 0 THEN CAST(event_id * 41 % 360 AS DOUBLE) WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN CAST((360 - event_id * 29 % 360) % 360 AS DOUBLE) END AS h FROM events)"
     ", n AS (SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY t_ms) AS k FROM e WHERE h IS NOT NULL)"
     ", p AS (SELECT walk_id, k, t_ms, sin(radians(h)) AS x, cos(radians(h)) AS y FROM n WHERE k = 1 UNION ALL"
     " SELECT n.walk_id, n.k, n.t_ms, p.x + 0.35 * (sin(radians(h)) - p.x), p.y + 0.35 * (cos(radians(h)) - p.y) FROM p JOIN n ON n.walk_id = p.walk_id AND n.k = p.k + 1)"
-    " SELECT walk_id, t_ms, round(fmod(degrees(atan2(x, y)) + 360, 360), 3) AS cap, true AS emitted FROM p"
+    " SELECT walk_id, t_ms, round(CASE WHEN degrees(atan2(x, y)) < 0 THEN degrees(atan2(x, y)) + 360 ELSE degrees(atan2(x, y)) END, 3) AS cap, true AS emitted FROM p"
 )
 
 ORACLES["shape_last_wins"] = """

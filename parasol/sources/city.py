@@ -31,7 +31,7 @@ def nodes(spark: SparkSession) -> DataFrame:
 
 
 def segments(spark: SparkSession) -> DataFrame:
-    """Streets east-west, then north-south; every eleventh given again with a higher number, the other way round, longer."""
+    """Streets east-west, then north-south; every eleventh given again with a higher number, the other way round, longer, a hand's breadth off."""
     n = SIDE - 1
     across = spark.range(SIDE * n).select(
         F.col("id").cast("int").alias("i"), (F.floor(F.col("id") / n) * SIDE + F.col("id") % n).alias("a"), F.floor(F.col("id") / n).alias("line"), F.lit(1).alias("step"), F.lit("H").alias("way")
@@ -53,7 +53,7 @@ def segments(spark: SparkSession) -> DataFrame:
     point = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
     rows = rows.withColumn("geom", F.array(point(lon_a, lat_a), point(mid_lon, mid_lat), point(lon_b, lat_b)))
     out = rows.select("i", "a", "b", "l", "rue", "cote", "geom", F.lit("all").alias("tile"), (F.col("i") % 3).alias("tile_ord"), F.col("i").alias("pos"))
-    twice = out.where("i % 11 = 0").select((F.col("i") + 1000).alias("i"), F.col("b").alias("a"), F.col("a").alias("b"), (F.col("l") + 2).alias("l"), "rue", "cote", F.reverse("geom").alias("geom"), "tile", "tile_ord", (F.col("i") + 1000).alias("pos"))
+    twice = out.where("i % 11 = 0").select((F.col("i") + 1000).alias("i"), F.col("b").alias("a"), F.col("a").alias("b"), (F.col("l") + 2).alias("l"), "rue", "cote", F.transform(F.reverse("geom"), lambda p: point(p.lon, p.lat + 2e-6)).alias("geom"), "tile", "tile_ord", (F.col("i") + 1000).alias("pos"))
     return out.unionByName(twice)
 
 
@@ -103,7 +103,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("route_id"))
     k = k.withColumn("d", (F.col("route_id") * 7) % (SIDE * SIDE)).withColumn("e", (F.col("route_id") * 13 + 5) % (SIDE * SIDE))
     (lon_d, lat_d), (lon_e, lat_e) = _corner("d"), _corner("e")
-    east, north = (F.col("route_id") % 7 - 3) * 1e-5, (F.col("route_id") % 5 - 2) * 1e-5
+    east, north = (F.col("route_id") % 7 - 3.5) * 1e-5, (F.col("route_id") % 5 - 2.5) * 1e-5
     hhmm = F.concat((9 + F.col("route_id") % 8).cast("string"), F.lit(":"), (F.col("route_id") % 60).cast("string"))
     weight = F.element_at(F.array(*map(F.lit, (0.0, 1.0, 2.0, 4.0))), (F.col("route_id") % 4 + 1).cast("int"))
     return k.select(
