@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -406,9 +406,9 @@ def _pass_or(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.Record
 
     def pairs() -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base = pa.compute.equal(b.column(2), BASE)
+            base = pc.equal(b.column(2), BASE)
             kept.append(b.filter(base))
-            rest = b.filter(pa.compute.invert(base))
+            rest = b.filter(pc.invert(base))
             if rest.num_rows:
                 yield rest
 
