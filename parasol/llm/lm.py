@@ -30,7 +30,7 @@ from parasol.llm.common import keep, parts
 from parasol.llm.text import FOLD_CASE
 
 MU = 0.2
-BLOCK = 12 << 20  # bytes of text in a block of documents
+BLOCK = 8 << 20  # bytes of text in a block of documents
 WORD_SHARD, PAIR_SHARD = 16 << 20, 8 << 20  # bytes of text for each shard
 HOT = 256
 END = np.uint64(0)  # stands for the end of a text, and for what is before its first word
