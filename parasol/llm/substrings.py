@@ -474,7 +474,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text")
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, groups = 1 + total // BUCKET, 1 + total // GROUP
+    buckets, groups = 1 + total // BUCKET, max(1 + total // GROUP, 4 * parts(spark))
     body = rows.select("doc", "h", "text")
     # A table of fixed size says which anchors may occur more than once; no piece of any other can hold a repeat.
     seen = body.mapInArrow(_mark, BLOBS).repartition(parts(spark), "at").sortWithinPartitions("at").mapInArrow(_repeated, BLOBS)
