@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parasol.functions.shade import UNKNOWN, WALKING, crossing_cost, sun
+from parasol.sources.lineage import cut
 
 START, END = -1, -2  # nodes of departure and arrival in paths
 HALVING, LEAST_K = 2.0, 0.25  # fixed values: the ladder of weights under a detour cap
@@ -173,17 +174,12 @@ def costs_by_relaxation(links: DataFrame, sources: DataFrame, rounds: int = 10_0
     Each round relaxes the links of nodes that have become cheaper; ends when none has. Rounds are written to
     the session's checkpoint folder, so a lost executor costs one.
     """
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parasol-"))
     best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("new"))
     for _ in range(rounds):
         step = best.where("new").join(links, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (best.cost + links.cost).alias("cost"), F.lit(True).alias("new"))
         both = best.withColumn("new", F.lit(False)).unionByName(step)
         # A known cost wins ties, so an equal one is not new.
-        best = both.groupBy("source", "node").agg(F.min(F.struct("cost", "new")).alias("m")).select("source", "node", "m.cost", "m.new").checkpoint()
+        best = cut(both.groupBy("source", "node").agg(F.min(F.struct("cost", "new")).alias("m")).select("source", "node", "m.cost", "m.new"))
         if best.where("new").isEmpty():
             break
     return best.drop("new")
