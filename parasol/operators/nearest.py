@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parasol.functions.geo import along, length
 
-CELL = 50.0
+CELL = 50.0  # fixed value: cells of the street index
+RING = 16.0  # first ring in which a point's sidewalk is sought
 
 
 def strips(segments: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def attach(points: DataFrame, stretches: DataFrame, key: str, scope: Column | No
     sought again in one eight times as wide, until all are found; only those few take part again. Without any
     segment in scope a point has no row.
     """
-    out, left, radius = None, points, CELL
+    out, left, radius = None, points, RING
     order = F.struct("d", F.col("ord"), "p")
     while True:
         cell = _cells(F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius, radius)
