@@ -6,6 +6,9 @@ tile pairs that differ by more than the radius are skipped and all others are co
 exclusive-or and bit counts. No pair within the radius is missed and no bucket is capped: a crowded tile is
 split into blocks, each of which meets every block of the neighbouring tiles.
 A tile returns a spanning forest of its links, never all pairs; components follow by hooking and shortcutting.
+
+Where a similarity is asked for, these components only say which texts may be near copies: within each, blocks of
+its texts meet, and pairs that are near by fingerprint are linked if the Jaccard index of their shingle sets confirms it.
 """
 
 from __future__ import annotations
@@ -76,6 +79,20 @@ def fingerprints(docs: DataFrame, names: list[str], n: int) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
+def set_fingerprints(docs: DataFrame, names: list[str], n: int) -> DataFrame:
+    """docs (with text), the long column name, a hash of the text's set of shingles, and the fingerprint of that set."""
+    columns = ["name", *names]
+    schema = docs.withColumns({c: F.lit(0).cast("long") for c in columns}).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(t, n)) for t in pdf["text"]]
+            found = [[xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63), *fingerprint(h, len(names))] for h in sets]
+            yield pdf.assign(**dict(zip(columns, np.array(found, np.int64).reshape(-1, len(columns)).T, strict=True)))
+
+    return docs.mapInPandas(run, schema)
+
+
 def neighbours(radius: int, quarters: int) -> list[int]:
     """Steps between tiles that can hold a pair within radius, one of each opposite two, without the zero step."""
     span = range(-radius, radius + 1)
@@ -219,28 +236,28 @@ def components(links: DataFrame) -> DataFrame:
     return f
 
 
-def with_components(docs: DataFrame, n: int = 3, radius: int = 3, words: int = 1, wide: int | None = None) -> DataFrame:
-    """doc_id, row (64-bit hash of doc_id and text), w0.. and component_id, the smallest doc_id reachable through
+def with_components(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, row (64-bit hash of doc_id and text), w0 and component_id, the smallest doc_id reachable through
     links, itself included, for every row of docs.
 
     Null, empty and blank texts have fingerprint 0, which links like any other. Repeated rows and rows that share
     a doc_id keep rows of their own. A null doc_id is the smallest only where all are null. An empty table gives
     an empty one. Further columns are not read.
     """
-    names = [f"w{k}" for k in range(words)]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
-    rows = keep(fingerprints(rows, names, n).drop("text"))
-    name = F.xxhash64(*names) if words > 1 else F.col("w0")
-    fps = keep(rows.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("name", name))
-    # A row of a wide tile block holds up to 330 kB: few of them go into an Arrow batch.
-    spark, setting = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(setting)
-    batched(spark, 16 if words > 1 else int(usual))
-    roots = components(near_links(fps.drop("least"), radius, wide)).select(F.col("node").alias("name"), "root")
-    batched(spark, int(usual))
-    rooted = fps.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    rows = keep(fingerprints(_rows(docs), ["w0"], n).drop("text"))
+    fps = keep(rows.groupBy("w0").agg(F.min("doc_id").alias("least")).withColumn("name", F.col("w0")))
+    return _named(rows, fps, components(near_links(fps.drop("least"), radius)), ["w0"])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
+
+
+def _named(rows: DataFrame, fps: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:
+    """rows with the component_id of their fingerprint (fps: key, name, least) under roots (node, root)."""
+    rooted = fps.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(smallest, "root").select(*names, "component_id"), names)
+    return rows.join(rooted.join(smallest, "root").select(*key, "component_id"), key)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -249,17 +266,107 @@ def report(docs: DataFrame) -> DataFrame:
     return with_components(docs).select("doc_id", fingerprint, "component_id")
 
 
-#: For five-word shingles: bits of 64, and of 256, in which texts of similarity 0.8 differ at most (two standard deviations above their mean).
-NEAR_BITS, NEAR_WIDE_BITS = 16, 50
+def _confirm(batches: Iterator[pa.RecordBatch], radius: int, wide: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows of a meeting of two blocks come together, those of its own block first: links of similar sets, as a forest."""
+    meeting, own, found = None, [], []
+    lead: dict[int, int] = {}  # of the sets at hand, by links confirmed
+
+    def root(x: int) -> int:
+        while lead.setdefault(x, x) != x:
+            lead[x] = lead[lead[x]]
+            x = lead[x]
+        return x
+
+    def links(name: int, words: np.ndarray, shingles: frozenset) -> None:
+        if not own:
+            return
+        bits = np.bitwise_count(np.array([o[1] for o in own]) ^ words)
+        for k in np.flatnonzero((bits[:, 0] <= radius) & (bits.sum(axis=1, dtype=np.int64) <= wide)):
+            other, _, theirs = own[k]
+            x, y = root(name), root(other)
+            if x == y or min(len(shingles), len(theirs)) < similarity * max(len(shingles), len(theirs)):
+                continue
+            both = len(shingles & theirs)
+            if both >= similarity * (len(shingles) + len(theirs) - both):
+                lead[max(x, y)] = min(x, y)
+                found.append((name, other))
+
+    for batch in batches:
+        for at, home, name, words, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != meeting:
+                meeting, own, lead = at, [], {}
+            words, shingles = np.array(words, np.int64).view(np.uint64), frozenset(np.frombuffer(shingles, np.uint64).tolist())
+            links(name, words, shingles)
+            if home:
+                own.append((name, words, shingles))
+        if found:
+            a, b = zip(*found, strict=True)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def confirmed_links(texts: DataFrame, n: int, radius: int, wide: int, similarity: float) -> DataFrame:
+    """texts (name, words, text, root: what may be linked has one root) -> links (a, b) of names, enough of them to
+    join all whose shingle sets have at least this Jaccard index and that are near by fingerprint.
+
+    Every block of a root meets every other; a block has about MEMBERS texts or MEMBER_BYTES of them.
+    """
+    spark = texts.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, n)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("root", "name", "words")), pa.array(found, pa.binary())], ["root", "name", "words", "shingles"])
+
+    rows = keep(texts.mapInArrow(sets, "root long, name long, words array<long>, shingles binary"))
+    size = F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum(F.length("shingles")) / MEMBER_BYTES)
+    rows = rows.join(rows.groupBy("root").agg(F.ceil(size).cast("long").alias("blocks")), "root")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    met = rows.select("root", "own", other, "name", "words", "shingles")
+    at = F.struct("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    met = met.select(at.alias("at"), (F.col("own") <= F.col("other")).alias("home"), "name", "words", "shingles")
+    met = met.repartition(parts(spark), "at").sortWithinPartitions("at", F.desc("home"))
+    return met.mapInArrow(lambda it: _confirm(it, radius, wide, similarity), "a long, b long")
+
+
+MEMBERS, MEMBER_BYTES = 512, 8 << 20  # texts in a block that is confirmed, bytes of their shingles
+SIMILARITY = 0.8
+#: Bits of 64, and of 256, in which candidates differ at most. Sets of equal size at 0.8 differ in a bit with probability
+#: 0.1515, so such a pair is beyond the first with probability 3.5e-5, beyond the second with 8e-7; less for sets of unlike size. The
+#: smallest that can be at 0.8 (four shingles within five: 0.1875) are missed with 1.7e-3.
+NEAR_BITS, NEAR_WIDE_BITS = 22, 68
+
+
+def near_copies(docs: DataFrame, n: int = 5, radius: int = NEAR_BITS, wide: int = NEAR_WIDE_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, row, w0 to w3, component_id as with_components, by links between texts whose n-word shingle sets have at
+    least this Jaccard index. Blank texts are linked with each other alone."""
+    names = [f"w{k}" for k in range(4)]
+    rows = keep(set_fingerprints(_rows(docs), names, n).drop("text"))
+    fps = keep(rows.groupBy("name", *names).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
+    # A row of a wide tile block holds up to 330 kB: few of them go into an Arrow batch.
+    spark, setting = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    batched(spark, 16)
+    blank = F.lit(True)
+    for c in names:
+        blank = blank & (F.col(c) == 0)
+    maybe = components(near_links(fps.where(~blank).select("name", *names), radius, wide))
+    named = fps.select(F.col("name").alias("node"), F.array(*names).alias("words"), "row").join(maybe, "node")
+    one = _rows(docs).select("row", "text").join(named, "row").dropDuplicates(["node"])
+    links = confirmed_links(one.withColumnRenamed("node", "name"), n, radius, wide, similarity)
+    roots = components(links)
+    batched(spark, int(usual))
+    return _named(rows, fps.drop("row", *names), roots, ["name"]).drop("name")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row left of each group of near copies, the one of smallest doc_id; all columns kept.
 
-    Shingles of five words; near are texts of similarity 0.8 or more, as 256 fingerprint bits show it. Rows
-    without words are no copies of anything and stay. Of repeated rows one stays.
+    Shingles of five words; near are texts whose sets of them have a Jaccard index of 0.8 or more. Rows without
+    words are no copies of anything and stay. Of repeated rows one stays.
     """
-    found = with_components(docs, n=5, radius=NEAR_BITS, words=4, wide=NEAR_WIDE_BITS)
+    found = near_copies(docs)
     blank = F.lit(True)
     for k in range(4):
         blank = blank & (F.col(f"w{k}") == 0)

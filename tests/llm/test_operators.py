@@ -284,6 +284,37 @@ def test_deduplicated(spark, docs, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_near_copies_are_confirmed(spark):
+    """Pairs at true similarities of 0.6 to 0.85, short and long, against brute force."""
+    rows = []
+    for k in range(120):
+        t = prose(5000 + k, (40, 120, 400)[k % 3]).split()
+        shingles = len(t) - 4
+        gone = round((1 - (0.6 + k % 26 / 100)) * shingles / (2 - (1 - (0.6 + k % 26 / 100))))
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(t[: len(t) - gone] + prose(9000 + k, gone).split()))]
+    rows += [(1000, "one two three four five six seven eight"), (1001, "one two three four five six seven eight nine"), (1002, "a b c d e f"), (1003, "a b c d e f a b c d e f")]
+    sets = {d: set(zip(*[t.split()[j:] for j in range(5)], strict=False)) for d, t in rows}
+    jaccard = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    lead = {d: d for d, _ in rows}
+    ids = sorted(lead)
+    for i in ids:
+        for j in ids:
+            if i < j and jaccard(i, j) >= 0.8:
+                lead[j] = min(lead[j], lead[i])
+    below = [k for k in range(120) if 0.7 <= jaccard(2 * k, 2 * k + 1) < 0.8]
+    assert len(below) > 20 and lead[1001] == 1000 and lead[1003] == 1003
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicated(d).collect()} == {x for x in lead if lead[x] == x}
+
+
+def test_near_copies_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 7)
+    t = prose(77, 300).split()
+    rows = [(k, " ".join(t[:k] + [f"changed{k}"] + t[k + 1 :])) for k in range(0, 300, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.deduplicated(d).collect()] == [0]
+
+
 # ---- quality, language, language model
 
 
