@@ -201,10 +201,10 @@ def edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def passage_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step at which a walker from each request's end passes each tenth segment."""
+    """Step at which a walker from each request's end passes each segment."""
     q = city.requests(spark, sf_dir).select("route_id", geo.plane(F.col("dep_lon"), F.col("dep_lat")).alias("p"))
-    s = _segments(spark).where("i % 10 = 0 and i < 1000").select("i", ((F.get("line", F.lit(0)).x + F.element_at("line", -1).x) / 2).alias("mx"), ((F.get("line", F.lit(0)).y + F.element_at("line", -1).y) / 2).alias("my"))
-    rows = q.join(F.broadcast(s))  # 27 rows
+    s = _segments(spark).select("i", ((F.get("line", F.lit(0)).x + F.element_at("line", -1).x) / 2).alias("mx"), ((F.get("line", F.lit(0)).y + F.element_at("line", -1).y) / 2).alias("my"))
+    rows = q.join(F.broadcast(s))  # 288 rows
     # A slow clock, so that the small city spans several steps.
     d = geo.length(F.col("mx") - F.col("p.x"), F.col("my") - F.col("p.y")) * 40
     return rows.select("route_id", "i", shading.passage_step(F.lit(40), d, F.lit(city.STEPS)).alias("pas"))
@@ -233,10 +233,10 @@ def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def all_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O48 by joins alone: least costs from every fourth corner."""
+    """O48 by joins alone: least costs from every corner."""
     e = graph.both_ways(graph.edges(city.segments(spark), city.crossings(spark)))
     links = e.select("u", "v", (F.col("l") + shading.crossing_cost(F.col("kind"), F.col("src"))).alias("cost"))
-    sources = graph.first_nodes(city.nodes(spark)).where("nid % 4 = 0").select(F.col("nid").alias("source"))
+    sources = graph.first_nodes(city.nodes(spark)).select(F.col("nid").alias("source"))
     return routing.costs_by_relaxation(links, sources).select("source", "node", r3("cost", "cost"))
 
 
