@@ -70,7 +70,7 @@ def _places(traces: DataFrame) -> DataFrame:
 
 def _shaded(spark: SparkSession, sf_dir: str, stages: DataFrame, at_departure: bool = True) -> DataFrame:
     start = city.walks(spark, sf_dir).groupBy("route_id").agg(F.min("step").alias("start_step"))
-    return sides.with_shade(stages.join(start, "route_id"), city.shade(spark), nearest.facing(_segments(spark).where("i < 1000")), at_departure)
+    return sides.with_shade(stages.join(start, "route_id"), city.shade(spark), nearest.facing(_segments(spark)), at_departure)
 
 
 # ---- sources and graph
@@ -148,7 +148,7 @@ def sidewalk_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attach_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest sidewalk of every fix."""
     p = city.fixes(spark, sf_dir).select("event_id", geo.plane(F.col("lon"), F.col("lat")).alias("m")).select("event_id", "m.x", "m.y")
-    a = nearest.attach(p, nearest.strips(_segments(spark).where("i < 1000")), "event_id")
+    a = nearest.attach(p, nearest.strips(_segments(spark)), "event_id")
     return a.select("event_id", "i", r3("projection_m", "projection_m"), r3("rest_m", "rest_m"), r3("distance_m", "distance_m"))
 
 
@@ -167,14 +167,14 @@ def followed_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest street and nearest expected street among nine cells."""
     f = city.fixes(spark, sf_dir).select("event_id", geo.plane(F.col("lon"), F.col("lat")).alias("m"))
     f = f.select("event_id", "m.x", "m.y", F.array(F.concat(F.lit("Rue H"), (F.col("event_id") % 6).cast("string"))).alias("expected"))
-    got = nearest.followed_street(f, _segments(spark).where("i < 1000"), "event_id")
+    got = nearest.followed_street(f, _segments(spark), "event_id")
     return got.select("event_id", "i", "rue", "cote", r3("d", "d"), r3("d_expected", "d_expected"))
 
 
 @query
 def facing_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sidewalk opposite."""
-    got = nearest.facing(_segments(spark).where("i < 1000"))
+    got = nearest.facing(_segments(spark))
     return got.select("i", "i_face", "cote_face", r3("distance_m", "distance_m"))
 
 
@@ -365,7 +365,7 @@ def sun_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walking_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which side of the street to walk on."""
     *_, stages, traces = _walk(spark, sf_dir)
-    segs = _segments(spark).where("i < 1000")
+    segs = _segments(spark)
     got = sides.side_to_walk(_places(traces).select("route_id", "s"), stages, segs, nearest.facing(segs), traces)
     return got.select("route_id", r3("s", "s"), "cote", "methode", "cote_boussole", "rue")
 
@@ -438,7 +438,7 @@ def _guided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     detours = some.where("route_id % 3 = 0").select("route_id", (F.col("longueur") * 0.6).alias("a_m"), F.lit(45.0).alias("longueur_m"), F.lit(90.0).alias("cap_relatif_deg"))
     fixes = trace.walked(traces, detours, noise_m=4.0, seed=F.col("route_id"))
     street = instructions.streets(stages, traces).withColumnRenamed("route_id", "walk_id")
-    near = some.select(F.col("route_id").alias("walk_id")).join(F.broadcast(_segments(spark).where("i < 1000").select("i", "rue", "cote", "geom")))  # 264 rows
+    near = some.select(F.col("route_id").alias("walk_id")).join(F.broadcast(_segments(spark).select("i", "rue", "cote", "geom")))  # 288 rows
     return fixes, run.contexts(traces.withColumnRenamed("route_id", "walk_id"), street, near)
 
 

@@ -9,6 +9,10 @@ from tests.test_oracles import TABLES, plain
 FILTERS = {
     "passage_steps": [(" WHERE i % 10 = 0 AND i < 1000", "")],
     "all_costs": [("range(0, 144, 4)", "range(0, 144)")],
+    "attach_fixes": [(" WHERE s.i < 1000", "")],
+    "followed_streets": [(" WHERE i < 1000", "")],
+    "facing_sides": [(" AND i < 1000", "")],
+    "shade_bands": [(" AND i < 1000", "")],
 }
 
 
