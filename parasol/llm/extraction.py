@@ -34,7 +34,9 @@ NOISE = re.compile(
     r"|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|discuss\w*|disqus|login|search)(?:$|[\s_-])",
     re.I,
 )
+NOISE_IN_ARTICLE = re.compile(NOISE.pattern.replace("|header|", "|"), re.I)  # an article's header has its title
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+SCOPES = frozenset("table td th caption button object template select".split())  # an end tag in them ends nothing around them
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
@@ -47,11 +49,25 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = (m[1] or "hidden").lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and NOISE.search(value):
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and (NOISE_IN_ARTICLE if in_article else NOISE).search(value):
             return True
     return False
 
 
+def _left_open(skipped: list[str], name: str) -> int:
+    """How many of the open tags are left when an element of this name starts: those it ends, and all in them, go."""
+    left = len(skipped)
+    for ends, stop in (({"p"}, BLOCK), (CLOSES.get(name, set()), {"ul", "ol", "dl", "table", "select"})):
+        if name not in BLOCK and name not in CLOSES:
+            break
+        for k in range(left - 1, -1, -1):
+            if skipped[k] in ends:
+                left = k
+            elif skipped[k] in stop:
+                break
+    return left
+
+
 class Page:
     """Nodes in page order as parallel lists; blocks of text, each node with its first and end block."""
 
@@ -110,19 +126,26 @@ class Page:
             if not name:
                 continue
             name, shut, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            ended = False  # what is skipped, by this tag
             if skipped:
                 if shut:
                     if name in skipped:
                         while skipped.pop() != name:
                             pass
+                    elif name in BLOCK and name not in ("body", "html") and not SCOPES & set(skipped) and any(tag[k] == name for k in open_):
+                        skipped.clear()  # ended with its parent
+                        ended = True
                 elif name in RAW:
                     e = RAW[name].search(source, at)
                     at = e.end() if e else n
+                elif name not in VOID and not (left := _left_open(skipped, name)):
+                    skipped.clear()  # the new element ends it, and is judged by itself
+                    ended = True
                 elif name not in VOID and not attributes.endswith("/"):
-                    if name in CLOSES and skipped[-1] in CLOSES[name] or name == "p" and skipped[-1] == "p":
-                        skipped.pop()
-                    skipped.append(name)
-                if name in ("body", "article", "main") and (skipped and skipped[0] == "head" or not skipped):
+                    skipped[left:] = [name]
+                if ended:
+                    pass
+                elif name in ("body", "article", "main") and (skipped and skipped[0] == "head" or not skipped):
                     if not shut:
                         skipped.clear()  # a head that was never closed
                     else:
@@ -232,6 +255,8 @@ class Page:
             paragraphs = self.tag[k] in ("p", "h1") or any(self.tag[j] == "p" and parent[j] == k for j in range(k + 1, n))
             if self.tag[k] == "h1" and k < best or paragraphs and dense[k] >= least and L[k] * 3 <= C[k] and self.tag[best] not in ("article", "main"):
                 chosen.add(k)
+        low, high = min(chosen), max(chosen)
+        chosen |= {k for k in siblings if low < k < high and L[k] * 3 <= C[k]}
         keep: list[str] = []
         for k in sorted(chosen):
             keep += self.blocks[self.first[k] : self.end[k]]

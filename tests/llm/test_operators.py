@@ -414,6 +414,22 @@ def test_extraction(page, text):
     assert extraction.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p class='notice'>Cookies<p>First text.<p>Second text.</article>", "First text.\n\nSecond text."),
+        ("<article><div><p class='notice'>Cookies</div><p>After it.</p></article>", "After it."),
+        ("<article><ul><li class='share'>Share<li>One<li>Two</ul><p>End.</p></article>", "One\n\nTwo\n\nEnd."),
+        ("<article><p class='notice'>Cookies <b>here<div>Text.</div></article>", "Text."),
+        ("<article><div class='entry-header'><h1>Head</h1></div><p>Text.</p></article>", "Head\n\nText."),
+        ("<body><h1>Head</h1><div>By someone</div><div>" + "<p>Long text here.</p>" * 9 + "</div></body>", "\n\n".join(["Head", "By someone", *["Long text here."] * 9])),
+        ("<article><div class='share'><ul><li>A<li>B</ul><p>C<p>D</div><p>Text.</p></article>", "Text."),
+    ],
+)
+def test_extraction_after_noise(page, text):
+    assert extraction.main_text(page) == text
+
+
 def test_extraction_of_articles(spark):
     p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").unionByName(spark.createDataFrame([(None, None, None)], "page_id long, url string, html string"))
     rows = extraction.extract(p.withColumn("text", F.lit(1))).collect()
