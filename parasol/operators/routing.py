@@ -171,7 +171,7 @@ def path_rows(found: DataFrame) -> DataFrame:
 def costs_by_relaxation(links: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Least cost from each source to each node, by joins alone: links (u, v, cost), sources (source).
 
-    Each round relaxes the links of nodes that have become cheaper; ends when none has. Rounds are written to
+    Each round relaxes the links of nodes that have become cheaper; ends when none has; it is an error if `rounds` do not suffice. Rounds are written to
     the session's checkpoint folder, so a lost executor costs one.
     """
     best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("new"))
@@ -181,5 +181,5 @@ def costs_by_relaxation(links: DataFrame, sources: DataFrame, rounds: int = 10_0
         # A known cost wins ties, so an equal one is not new.
         best = cut(both.groupBy("source", "node").agg(F.min(F.struct("cost", "new")).alias("m")).select("source", "node", "m.cost", "m.new"))
         if best.where("new").isEmpty():
-            break
-    return best.drop("new")
+            return best.drop("new")
+    raise RuntimeError(f"costs still fall after {rounds} rounds")

@@ -43,6 +43,12 @@ def test_search_equals_relaxation(spark):
             assert r["cout_pondere"] == pytest.approx(want[r["route_id"]], abs=1e-6)
 
 
+def test_relaxation_that_is_cut_short_is_an_error(spark):
+    links = spark.createDataFrame([(k, k + 1, 1.0) for k in range(4)], "u long, v long, cost double")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        routing.costs_by_relaxation(links, spark.createDataFrame([(0,)], "source long"), rounds=2)
+
+
 def test_missing_time_and_date_are_errors(spark):
     q = city.requests(spark, "/root/testdata/sf0.001").limit(1).withColumn("heure", F.lit("23:59"))
     with pytest.raises(Exception, match="pas de temps absent"):
