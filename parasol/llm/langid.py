@@ -2,7 +2,7 @@
 language whose dictionary makes it smallest wins; where the next one does as well, the text is rejected.
 
 Fitting is bounded: passages of at most PASSAGE characters from about SAMPLE documents of each of at most
-LANGUAGES languages (the most frequent ones), SIZE bytes of dictionary each. Classification reads whole texts.
+at most LANGUAGES languages (more are an error), SIZE bytes of dictionary each. Classification reads whole texts.
 """
 
 from __future__ import annotations
@@ -73,9 +73,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionaries by language from training rows."""
+    """Dictionaries by language from training rows; more than LANGUAGES languages are an error."""
     rows = training_rows(docs).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     if not counts:
         return {}
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])

@@ -351,6 +351,13 @@ def test_langid(spark, docs, none):
     assert {r["lang_pred"] for r in langid.report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_langid_drops_no_language(docs, monkeypatch):
+    assert set(langid.fit(docs)) == {"en", "de"}
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.fit(docs)
+
+
 def test_langid_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.report(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
