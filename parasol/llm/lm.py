@@ -1,16 +1,18 @@
 """Language-model scores from an Elias-Fano trie of word pairs.
 
-The model is p(w | c) = MU * n(c, w) / n(c) + (1 - MU) * (n(w) + 1) / (N + V + 1), with counts over all training
-documents. Its trie has contexts on one level and their successors on the next, both sorted: successors form one
+The model is p(w | c) = m * n(c, w) / n(c) + (1 - m) * (n(w) + 1) / (N + V + 1), with counts over all training
+documents; the weight m is the one of WEIGHTS under which the training tokens, each left out of its own counts, are
+likeliest. Its trie has contexts on one level and their successors on the next, both sorted: successors form one
 monotone sequence (number + context * universe) in Elias-Fano form, monotone pointers say where a context's
 successors begin, each has its probability as an 8-bit logarithm, and the levels lie in memory-mapped files. A
 query finds its context, then searches the successors between two pointers.
 
 Counts and trie are partitioned, nothing is broadcast and no count passes through the driver: blocks of
 documents send their distinct words, with counts, to shards by word hash, which answer with totals and numbers;
-then they send their distinct pairs, each with the documents it is in, to shards by context (by successor where
-one context has more than one in HOT tokens), which count, build their part of the trie, look up every pair,
-and answer with sums by document.
+then they send their distinct pairs, with counts, to shards by context, which sum them, build their part of the
+trie, look every pair up and answer with one byte for it; the block adds these up by document. A context of more
+than HOT tokens is dealt by (context, successor), of which a block sends one entry each, so no word, however
+frequent, fills a shard.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from parasol.llm.common import keep, parts
 from parasol.llm.text import FOLD_CASE
 
-MU = 0.2
+WEIGHTS = (0.01, 0.02, 0.05, *(k / 10 for k in range(1, 10)), 0.95, 0.98)
 BLOCK = 8 << 20  # bytes of text in a block of documents
 WORD_SHARD, PAIR_SHARD = 16 << 20, 8 << 20  # bytes of text for each shard
-HOT = 256
+HOT = 1 << 17  # tokens of a context: about a tenth of those in a shard
+MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 END = np.uint64(0)  # stands for the end of a text, and for what is before its first word
 STEPS = 8  # codes for a factor of two
+UNSEEN = 255
 
 
 # ---- packing
@@ -78,7 +81,7 @@ def batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
 
 ROW = (["at", "block", "kind", "shard", "blob"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])
 ROW_DDL = "at long, block long, kind int, shard int, blob binary"
-TOKENS, WORDS, COUNTED, PAIRS, SUMS, BASE = range(6)
+TOKENS, WORDS, COUNTED, PAIRS, CODES, BASE, FITS = range(7)
 
 
 # ---- quantised logarithms
@@ -95,12 +98,12 @@ def code_count(code: np.ndarray) -> np.ndarray:
 
 
 def chance_code(p: np.ndarray) -> np.ndarray:
-    """Probabilities as 8-bit logarithms, rounded down; 0 stands for 1."""
-    return np.clip(np.ceil(-STEPS * np.log2(p) - 1e-9), 0, 255).astype(np.uint8)
+    """Probabilities as 8-bit logarithms, rounded down; 0 stands for 1, UNSEEN for 0 and all below 2^-31."""
+    return np.clip(np.ceil(-STEPS * np.log2(p) - 1e-9), 0, UNSEEN).astype(np.uint8)
 
 
 def code_chance(code: np.ndarray) -> np.ndarray:
-    return np.exp2(-code.astype(np.float64) / STEPS)
+    return np.where(code == UNSEEN, 0.0, np.exp2(-code.astype(np.float64) / STEPS))
 
 
 # ---- Elias-Fano
@@ -178,8 +181,8 @@ class Trie:
         return low
 
     def find(self, context: np.ndarray, n: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Contexts and how many successors are asked of each -> probabilities, 0 for pairs never seen."""
-        out = np.zeros(len(successor))
+        """Contexts and how many successors are asked of each -> probability codes, UNSEEN for pairs never seen."""
+        out = np.full(len(successor), UNSEEN, np.uint8)
         if not self.n or not len(context):
             return out
         at = self._search(self.names, np.zeros(len(context), np.int64), np.full(len(context), self.n), context)
@@ -192,7 +195,7 @@ class Trie:
         place = self._search(self.successors, low[ask], high[ask], value)
         hit = place < high[ask]
         hit[hit] = self.successors.get(place[hit]) == value[hit]
-        out[ask[hit]] = code_chance(self.code[place[hit]])
+        out[ask[hit]] = self.code[place[hit]]
         return out
 
 
@@ -279,7 +282,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 
 
 def _ask(batches: Iterator[pa.RecordBatch], shards: int, pair_shards: int, n_tokens: int, n_words: int, n_ends: int) -> Iterator[pa.RecordBatch]:
-    """A block's tokens and their counts -> what needs no pairs, by document, and rows of its pairs for their shards."""
+    """A block's tokens and their counts -> what needs no pairs, by document, with the documents of each distinct pair, and
+    rows of these pairs for their shards."""
     room = n_tokens + n_words + 1
     for block, rows in _grouped(batches):
         (main,) = (r for r in rows if r[2] == TOKENS)
@@ -289,61 +293,77 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, pair_shards: int, n_tok
         # Numbers: 0 is the end, a word's is one more than its rank times shards plus its shard.
         word = np.concatenate([np.zeros(1, np.uint64), *(g[0].astype(np.uint64) * np.uint64(shards) + np.uint64(r[3] + 1) for g, r in zip(got, answers, strict=True))])
         count = np.concatenate([np.array([n_ends]), *(g[1].astype(np.int64) for g in got)])
+        del got, answers, rows
         # Every document is its words and an end; what precedes the first word is an end.
         stop = np.cumsum(length + 1) - 1
-        w = np.zeros(int((length + 1).sum()), np.int64)
+        w = np.zeros(int((length + 1).sum()), np.int32)
         is_word = np.ones(len(w), bool)
         is_word[stop] = False
-        w[is_word] = token.astype(np.int64) + 1
-        c = np.r_[0, w[:-1]][: len(w)]
-        doc = np.repeat(np.arange(len(ids)), length + 1)
-        base = np.log10((count[w] + 1) / room)
-        score = np.where(count[c] > 0, np.log10(1 - MU), 0.0) + base
-        ask = (count[c] > 0) & (count[w] > 0)
+        w[is_word] = token.astype(np.int32) + 1
+        c = np.r_[w[:0], 0, w[:-1]][: len(w)].astype(np.int32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), length + 1)
+        del token, is_word, main
         total = lambda x: np.bincount(doc, weights=x, minlength=len(ids))
-        plain = (total(np.ones(len(w))).astype(np.int64), total(count[w] > 0).astype(np.int64), total(base), total(np.where(ask, 0.0, score)))
-        yield batch(*ROW, [(block, block, BASE, 0, pack(ids, none, held, *plain))])
+        base = np.log10((count + 1) / room)[w]
+        n, known, sums = length + 1, total(count[w] > 0).astype(np.int64), [total(base)]
+        ask = (count[c] > 0) & (count[w] > 0)
+        back = total((count[c] > 0) & ~ask).astype(np.int64)
+        base[ask] = 0.0
+        sums.append(total(base))
+        del base
+        # Tokens by shard, context, successor and document: what is alike lies together.
         c, w, doc = c[ask], w[ask], doc[ask]
-        hot = count[c] * HOT > n_tokens
-        at = shard_of(np.where(hot, word[w], word[c]), pair_shards)
-        order = np.lexsort((doc, word[w], word[c], at))
+        hot = count[c] > HOT
+        at = word[c]
+        at[hot] = at[hot] * MIX ^ word[w[hot]]
+        at = shard_of(at, pair_shards).astype(np.int32)
+        place = np.empty(len(word), np.int32)
+        place[np.argsort(word)] = np.arange(len(word), dtype=np.int32)
+        order = np.lexsort((doc, place[w], place[c], at))
         c, w, doc, at = c[order], w[order], doc[order], at[order]
+        del order, hot
+        new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])][: len(c)])
+        learned = np.add.reduceat((held[doc] == 0).astype(np.int32), new) if len(new) else np.zeros(0, np.int32)
+        times = np.diff(np.r_[new, len(c)])
+        pc, pw, at = c[new], w[new], at[new]
+        blob = pack(ids, none, held, n, known, back, *sums, least_kind(times), least_kind(doc), count_code(count[pw], up=False))
+        yield batch(*ROW, [(block, block, BASE, 0, blob)])
+        del c, w, doc, new, times, blob
         for i, j in _runs(at):
-            x, y, d = c[i:j], w[i:j], doc[i:j]
-            new_pair = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            px, py = x[new_pair], y[new_pair]
-            new_context = np.flatnonzero(np.r_[True, px[1:] != px[:-1]])
+            x, y = pc[i:j], pw[i:j]
+            new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
             blob = pack(
-                word[px[new_context]],
-                least_kind(np.diff(np.r_[new_context, len(px)])), count_code(count[px[new_context]], up=True),
-                least_kind(word[py]), count_code(count[py], up=False), least_kind(np.diff(np.r_[new_pair, len(d)])), least_kind(d), held,
-                rising=1,
+                word[x[new]], least_kind(np.diff(np.r_[new, len(x)])), count_code(count[x[new]], up=True),
+                least_kind(word[y]), count_code(count[y], up=False), least_kind(learned[i:j]), rising=1,
             )
             yield batch(*ROW, [(int(at[i]), block, PAIRS, int(at[i]), blob)])
 
 
 def _answer(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
-    """All blocks' pairs of a shard -> trie -> sums of log10 probabilities by block and document."""
+    """All blocks' pairs of a shard -> trie -> for each block its pairs' probability codes in their order, and for the
+    shard the training tokens' likelihood, each token left out of its own counts, under every weight in WEIGHTS."""
     for shard, rows in _grouped(batches):
-        got = [unpack(r[4], rising=1) for r in rows]
-        seen_c, seen_w, seen_n, code = [], [], [], []
-        for context, n, nc, successor, _, times, doc, held in got:
-            learned = np.add.reduceat((held[doc] == 0).astype(np.int64), np.cumsum(times.astype(np.int64)) - times)
-            some = learned > 0
-            seen_c.append(np.repeat(context, n)[some])
-            code.append(np.repeat(nc, n)[some])
-            seen_w.append(successor.astype(np.uint64)[some])
-            seen_n.append(learned[some])
-        sc, sw, sn, scode = (np.concatenate(x) for x in (seen_c, seen_w, seen_n, code))
-        order = np.lexsort((sw, sc))
-        sc, sw, sn, scode = sc[order], sw[order], sn[order], scode[order]
-        new = np.flatnonzero(np.r_[True, (sc[1:] != sc[:-1]) | (sw[1:] != sw[:-1])]) if len(sc) else np.zeros(0, np.int64)
-        total = np.add.reduceat(sn, new) if len(new) else np.zeros(0, np.int64)
-        trie = Trie(sc[new], sw[new], chance_code(np.minimum(1.0, total / code_count(scode[new]))))
-        for row, (context, n, _, successor, cw, times, doc, held) in zip(rows, got, strict=True):
-            p = MU * trie.find(context, n.astype(np.int64), successor.astype(np.uint64)) + (1 - MU) * (code_count(cw) + 1) / room
-            sums = np.bincount(doc, weights=np.repeat(np.log10(p), times), minlength=len(held))
-            yield batch(*ROW, [(row[1], row[1], SUMS, shard, pack(sums.astype(np.float32)))])
+        seen = []
+        for r in rows:
+            context, n, nc, successor, cw, learned = unpack(r[4], rising=1)
+            some = np.flatnonzero(learned)
+            seen.append([np.repeat(context, n)[some], successor[some].astype(np.uint64), learned[some].astype(np.int64), np.repeat(nc, n)[some], cw[some]])
+        c, w, n, nc, cw = map(np.concatenate, zip(*seen, strict=True))
+        del seen
+        order = np.lexsort((w, c))
+        c, w, n, nc, cw = (x[order] for x in (c, w, n, nc, cw))
+        new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, np.int64)
+        total = np.add.reduceat(n, new) if len(new) else np.zeros(0, np.int64)
+        c, w, nc, cw = c[new], w[new], code_count(nc[new]), code_count(cw[new])
+        trie = Trie(c, w, chance_code(np.minimum(1.0, total / nc)))
+        others, alone = np.minimum(1.0, (total - 1) / np.maximum(1.0, nc - 1)), np.maximum(1.0, cw) / room
+        fits = np.array([float(total @ np.log10(m * others + (1 - m) * alone)) for m in WEIGHTS])
+        del c, w, n, nc, cw, order, new, total, others, alone
+        yield batch(*ROW, [(-1, -1, FITS, shard, fits.tobytes())])
+        for r in rows:
+            context, n, _, successor, _, _ = unpack(r[4], rising=1)
+            code = trie.find(context, n.astype(np.int64), successor.astype(np.uint64))
+            yield batch(*ROW, [(r[1], r[1], CODES, shard, pack(code))])
 
 
 RESULT = (
@@ -353,12 +373,15 @@ RESULT = (
 RESULT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(batches: Iterator[pa.RecordBatch], n_tokens: int) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], n_tokens: int, room: int, weight: float) -> Iterator[pa.RecordBatch]:
     for _, rows in _grouped(batches):
         (main,) = (r for r in rows if r[2] == BASE)
-        ids, none, held, n, known, base, score = unpack(main[4])
-        for r in sorted((r for r in rows if r[2] == SUMS), key=lambda r: r[3]):
-            score = score + unpack(r[4])[0]
+        ids, none, held, n, known, back, base, score, times, doc, cw = unpack(main[4])
+        codes = [unpack(r[4])[0] for r in sorted((r for r in rows if r[2] == CODES), key=lambda r: r[3])]
+        score = score + back * np.log10(1 - weight)
+        if codes:
+            p = np.log10(weight * code_chance(np.concatenate(codes)) + (1 - weight) * (code_count(cw) + 1) / room)
+            score += np.bincount(doc, weights=np.repeat(p, times), minlength=len(ids))
         out = [(None if x else int(i), bool(k), int(a), int(b), n_tokens, float(c), float(d)) for i, x, k, a, b, c, d in zip(ids, none, held, n, known, base, score, strict=True)]
         yield batch(*RESULT, out)
 
@@ -367,9 +390,11 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7, F.lit(0))
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, weight: float | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
+    The weight of pairs (0 to 1, neither included) is fitted if none is given.
+
     Null and empty texts are one end. Repeated rows count, and are scored, one by one; a null doc_id is not held
     out. Without training rows nothing is known and both scores are those of the base. Further columns are not
     read. An empty table gives an empty table.
@@ -383,37 +408,25 @@ def score(docs: DataFrame) -> DataFrame:
     shards, pair_shards = 1 + size // WORD_SHARD, 1 + size // PAIR_SHARD
 
     def met(df: DataFrame, n: int) -> DataFrame:
-        return df.repartition(max(parts(spark), min(n, 1 << 16)), "at").sortWithinPartitions("at", "kind", "shard")
+        return df.repartition(max(parts(spark), n), "at").sortWithinPartitions("at", "kind", "shard")
+
+    def of(df: DataFrame, kind: int) -> DataFrame:
+        return df.where(F.col("kind") == kind)
 
     blocks = keep(rows.mapInArrow(lambda it: _blocks(it, shards), ROW_DDL))
-    counted = met(blocks.where(F.col("kind") == WORDS), shards).mapInArrow(lambda it: _count(it, shards), ROW_DDL)
-    counted = keep(counted)
+    counted = keep(met(of(blocks, WORDS), shards).mapInArrow(lambda it: _count(it, shards), ROW_DDL))
     n_words = v_words = 0
-    for r in counted.where(F.col("kind") == BASE).select("blob").toLocalIterator():  # two numbers a shard
+    for r in of(counted, BASE).select("blob").toLocalIterator():  # two numbers a shard
         n, v = np.frombuffer(r["blob"], np.int64)
         n_words, v_words = n_words + int(n), v_words + int(v)
     n_tokens, v = n_words + ends, v_words + (ends > 0)
-    both = blocks.where(F.col("kind") == TOKENS).unionByName(counted.where(F.col("kind") == COUNTED))
-    asked = met(both, 1 + size // BLOCK).mapInArrow(lambda it: _ask(it, shards, pair_shards, n_tokens, v, ends), ROW_DDL)
-    # Rows that need no pairs pass the trie's stage by: it sees rows of its own shards only.
-    answered = met(asked, pair_shards).mapInArrow(lambda it: _pass_or(it, n_tokens + v + 1), ROW_DDL)
-    return met(answered, 1 + size // BLOCK).mapInArrow(lambda it: _finish(it, n_tokens), RESULT_DDL)
-
-
-def _pass_or(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
-    """Base rows go through; pairs are answered."""
-    kept: list[pa.RecordBatch] = []
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            base = pc.equal(b.column(2), BASE)
-            kept.append(b.filter(base))
-            rest = b.filter(pc.invert(base))
-            if rest.num_rows:
-                yield rest
-
-    for out in _answer(pairs(), room):
-        yield from kept
-        kept.clear()
-        yield out
-    yield from kept
+    room = n_tokens + v + 1
+    both = of(blocks, TOKENS).unionByName(of(counted, COUNTED))
+    asked = keep(met(both, 1 + size // BLOCK).mapInArrow(lambda it: _ask(it, shards, pair_shards, n_tokens, v, ends), ROW_DDL))
+    answered = keep(met(of(asked, PAIRS), pair_shards).mapInArrow(lambda it: _answer(it, room), ROW_DDL))
+    fits = np.zeros(len(WEIGHTS))
+    for r in of(answered, FITS).select("blob").toLocalIterator():  # a number for each weight a shard
+        fits += np.frombuffer(r["blob"])
+    weight = weight or WEIGHTS[int(fits.argmax())]
+    both = of(asked, BASE).unionByName(of(answered, CODES))
+    return met(both, 1 + size // BLOCK).mapInArrow(lambda it: _finish(it, n_tokens, room, weight), RESULT_DDL)

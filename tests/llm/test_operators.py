@@ -380,11 +380,11 @@ def test_trie():
     have = dict(zip(pairs, code.tolist(), strict=True))
     for a in range(70):
         got = t.find(np.array([a], np.uint64), np.array([75]), np.arange(75, dtype=np.uint64))
-        assert got == pytest.approx([2 ** (-have[a, b] / 8) if (a, b) in have else 0.0 for b in range(75)])
+        assert got.tolist() == [have.get((a, b), lm.UNSEEN) for b in range(75)]
 
 
 def test_lm(docs, none):
-    rows = sorted(lm.score(docs).collect(), key=str)
+    rows = sorted(lm.score(docs, weight=0.2).collect(), key=str)
     texts = [(r[0], re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")) + [None]) for r in odd_rows()]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     count, pairs = Counter(), Counter()
@@ -396,13 +396,30 @@ def test_lm(docs, none):
     want = []
     for d, t in texts:
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
-        full = sum(math.log10((lm.MU * pairs[p, w] / count[p] if count[p] else 0) + (1 - lm.MU if count[p] else 1) * (count[w] + 1) / (n + v + 1)) for p, w in zip([None, *t], t, strict=False))
+        full = sum(math.log10((0.2 * pairs[p, w] / count[p] if count[p] else 0) + (1 - 0.2 if count[p] else 1) * (count[w] + 1) / (n + v + 1)) for p, w in zip([None, *t], t, strict=False))
         want.append((d, held(d), len(t), sum(count[w] > 0 for w in t), n, base, full))
     assert Counter(tuple(r)[:5] for r in rows) == Counter(w[:5] for w in want)
     key = lambda r: (str(r[0]), r[2], r[5])
     for r, w in zip(sorted(rows, key=key), sorted(want, key=key), strict=True):
         assert r["base_score"] == pytest.approx(w[5], rel=1e-9) and abs(r["score"] - w[6]) <= 0.06 * w[2]  # probabilities are 8-bit logarithms
     assert lm.score(none).count() == 0
+    # The fitted weight is the likeliest of the grid, with every training token left out of its own counts.
+    seen = [(p, w) for d, t in texts if not held(d) for p, w in zip([None, *t], t, strict=False)]
+    likely = {m: sum(math.log10(m * (pairs[p, w] - 1) / max(1, count[p] - 1) + (1 - m) * count[w] / (n + v + 1)) for p, w in seen) for m in lm.WEIGHTS}
+    best = sorted(likely, key=likely.get)[-3:]
+    fitted = Counter((str(r["doc_id"]), r["n_tokens"], round(r["score"], 9)) for r in lm.score(docs).collect())
+    assert any(fitted == Counter((str(r["doc_id"]), r["n_tokens"], round(r["score"], 9)) for r in lm.score(docs, weight=m).collect()) for m in best)
+
+
+def test_lm_hot_context(spark, monkeypatch):
+    """A context dealt over shards by pair scores as it does in one."""
+    docs = spark.createDataFrame([(k, " ".join(f"the w{(k * 7 + j) % 90}" for j in range(60))) for k in range(40)], "doc_id long, text string")
+    whole = sorted(map(tuple, lm.score(docs, 0.3).collect()))
+    for name, value in (("HOT", 20), ("PAIR_SHARD", 2048), ("WORD_SHARD", 4096), ("BLOCK", 4096)):
+        monkeypatch.setattr(lm, name, value)
+    parted = sorted(map(tuple, lm.score(docs, 0.3).collect()))
+    assert [r[:5] for r in whole] == [r[:5] for r in parted]
+    assert all(a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], rel=1e-6) for a, b in zip(whole, parted, strict=True))
 
 
 # ---- extraction
