@@ -24,7 +24,8 @@ SHARE = 1.5
 MOST = 2.0
 BUCKET = 256
 FAN_IN = 256
-ROUNDED = "doc_id long, source string, size long, row_key long, source_size long, target double, copies int, p double, bucket long"
+TWINS = 4096  # equal rows written out by one task
+ROUNDED = "doc_id long, source string, size long, row_key long, n long, source_size long, target double, copies long, p double, bucket long"
 
 
 def word_count(text: Column) -> Column:
@@ -99,34 +100,38 @@ def _pair(rows: list[tuple[int, int, float]], a: tuple[int, float], b: tuple[int
 
 
 def _settle(batches: Iterator[pd.DataFrame], last: bool, seed: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by source and bucket; a group may go over several batches and is carried along by what is left."""
-    open_key, held = None, None  # the unfinished row of the bucket at hand
+    """Rows come sorted by source and bucket. A bucket (about BUCKET or FAN_IN rows) is settled when all of it is there,
+    so that where batches end does not matter."""
+    held = None  # the bucket at hand
     for pdf in batches:
         if pdf.empty:
             continue
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        pdf = pdf.reset_index(drop=True)
-        copies, p = pdf["copies"].to_numpy().copy(), pdf["p"].to_numpy().copy()
-        key = pd.factorize(pd.MultiIndex.from_frame(pdf[["source", "bucket"]].fillna({"source": "\0null"})))[0]
-        ends = [*(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
-        begin, sizes, ids = 0, pdf["size"].to_numpy(), pdf["row_key"].to_numpy()
-        for end in ends:
-            rows = [(int(ids[i]) & (1 << 64) - 1, int(sizes[i]), float(p[i])) for i in range(begin, end)]
-            done, left = pivot(rows, seed)
-            for i, up in done.items():
-                copies[begin + i] += up
-                p[begin + i] = 0.0
-            if left:
-                p[begin + left[0]] = left[1]
-            begin = end
-        pdf["copies"], pdf["p"] = copies, p
-        is_open = pdf["p"] > 0
-        tail = is_open & (key == key[-1])
-        held, pdf = (pdf[tail], pdf[~tail]) if tail.any() else (None, pdf)
-        yield _closed(pdf, last, seed)
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        source = pdf["source"].where(pdf["source"].notna(), None)
+        key = pd.factorize(pd.MultiIndex.from_arrays([source.isna(), source.fillna(""), pdf["bucket"]]))[0]
+        whole = key != key[-1]
+        held = pdf[~whole]
+        if whole.any():
+            yield _settled(pdf[whole], key[whole], last, seed)
     if held is not None:
-        yield _closed(held, last, seed)
+        yield _settled(held, np.zeros(len(held), np.int64), last, seed)
+
+
+def _settled(pdf: pd.DataFrame, key: np.ndarray, last: bool, seed: int) -> pd.DataFrame:
+    pdf = pdf.reset_index(drop=True)
+    copies, p = pdf["copies"].to_numpy().copy(), pdf["p"].to_numpy().copy()
+    sizes, ids = pdf["size"].to_numpy(), pdf["row_key"].to_numpy()
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        rows = [(int(ids[i]) & (1 << 64) - 1, int(sizes[i]), float(p[i])) for i in range(begin, end)]
+        done, left = pivot(rows, seed)
+        for i, up in done.items():
+            copies[begin + i] += up
+            p[begin + i] = 0.0
+        if left:
+            p[begin + left[0]] = left[1]
+    pdf["copies"], pdf["p"] = copies, p
+    return _closed(pdf, last, seed)
 
 
 def _closed(pdf: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
@@ -135,7 +140,6 @@ def _closed(pdf: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
         up = [int(p > 0 and _draw(int(k) & (1 << 64) - 1, 1, seed) < p) for k, p in zip(pdf["row_key"], pdf["p"], strict=True)]
         pdf["copies"] = pdf["copies"] + up
         pdf["p"] = 0.0
-    pdf["copies"] = pdf["copies"].astype("int32")
     return pdf
 
 
@@ -179,10 +183,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def rounded_copies(docs: DataFrame, row_key: Column, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, row_key, source_size, target, copies (0 to 2) for every row of docs.
+    """doc_id, source, size, row_key, n, source_size, target, copies for every distinct row of docs.
 
-    row_key must be the same in every run and names the row in random draws; rows that share it are whole
-    copies of one another, and any of them may get the copies.
+    row_key must be the same in every run and names the row in random draws. The n rows that agree in key, doc_id,
+    source and size are one, with the copies of all of them (0 to 2n): paired among themselves, all but one of equal
+    rows become integral, whatever the draws, so their whole part is taken and the rest is the fraction of one row.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -191,8 +196,8 @@ def rounded_copies(docs: DataFrame, row_key: Column, seed: int = 17) -> DataFram
         word_count(F.col("text")).alias("size"),
         row_key.alias("row_key"),
     )
-    rows = keep(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    rows = keep(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     sizes = keep(sizes)
     targets = source_targets(sizes.select("source", "source_size")).join(
         sizes.select(F.col("source").alias("s"), "n_rows"), F.col("source").eqNullSafe(F.col("s"))
@@ -201,15 +206,15 @@ def rounded_copies(docs: DataFrame, row_key: Column, seed: int = 17) -> DataFram
     t = targets.select(F.col("source").alias("s"), "source_size", "target", "n_rows")
     t = F.broadcast(t) if few else t
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.join(t, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("share", share)
+    rows = rows.join(t, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("share", share * F.col("n"))
     whole = F.floor(F.col("share") + 1e-12)
     part = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("share") - whole)).otherwise(0.0)
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / BUCKET))
     rows = rows.select(
-        "doc_id", "source", "size", "row_key", "source_size", "target",
-        whole.cast("int").alias("copies"),
+        "doc_id", "source", "size", "row_key", "n", "source_size", "target",
+        whole.cast("long").alias("copies"),
         F.when(part > 1e-12, part).otherwise(0.0).alias("p"),
-        F.pmod(F.xxhash64("row_key"), n_buckets).alias("bucket"),
+        F.pmod(F.xxhash64("row_key", "doc_id", "size"), n_buckets).alias("bucket"),
     )
     top = int(sizes.agg(F.max("n_rows")).first()[0] or 0)
     depth = -(-top // BUCKET)  # buckets of the largest source
@@ -217,7 +222,7 @@ def rounded_copies(docs: DataFrame, row_key: Column, seed: int = 17) -> DataFram
     rest = rows.where("p > 0")
     while True:
         last = depth <= 1
-        level = rest.repartition(parts(spark), "source", "bucket").sortWithinPartitions("source", "bucket", "row_key", "size")
+        level = rest.repartition(parts(spark), "source", "bucket").sortWithinPartitions("source", "bucket", "row_key", "doc_id", "size")
         step = keep(level.mapInPandas(lambda it, last=last: _settle(it, last, seed), ROUNDED))
         if last:
             done.append(step)
@@ -231,35 +236,44 @@ def rounded_copies(docs: DataFrame, row_key: Column, seed: int = 17) -> DataFram
     return out.drop("p", "bucket")
 
 
+def _shared_out(total: Column, n: Column, at: Column) -> Column:
+    """Copies of the row `at` (from 0) of n equal rows that have so many in all."""
+    return F.floor(total / n) + F.when(at < total % n, 1).otherwise(0)
+
+
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (size times copies), copies, source.
 
     Null texts and texts without words have size 0 and take 0; null sources form one source, last in order.
-    Repeated rows are rounded one by one. Ties and partitioning do not matter: draws depend on row contents.
-    An empty table gives an empty table. Other columns are not read.
+    Copies of repeated rows are shared out evenly over them. Ties, partitions and batches do not matter: draws depend
+    on row contents. An empty table gives an empty table. Other columns are not read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64(F.col("doc_id"), text, F.coalesce(F.col("source"), F.lit("")))
-    out = rounded_copies(docs, key, seed)
-    return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source"
-    )
+    out = rounded_copies(docs, _key(), seed)
+    # Equal rows are written out in runs, so that no task has to write all rows of one kind.
+    runs = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / TWINS))))
+    runs = runs.repartition(parts(docs.sparkSession), "row_key", "run")
+    first = F.col("run") * TWINS
+    rows = runs.withColumn("at", F.explode(F.sequence(first, F.least(first + TWINS, F.col("n")) - 1)))
+    rows = rows.withColumn("copies", _shared_out(F.col("copies"), F.col("n"), F.col("at")).cast("int"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("source"), F.lit("")))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs with every row repeated as often as the mix takes it (0 to 2 times); all columns kept.
 
-    Rows without words carry no weight and stay once. Decisions are joined back by row key; rows that share a
-    key are whole copies, and their copies are spread over them evenly.
+    Rows without words carry no weight and stay once. Decisions are joined back by row key and doc_id; the copies of
+    rows that agree in both, whole copies of one another, are spread over them evenly.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     k, n, t, at = fresh(docs, "_key", "_rows", "_times", "_at")
-    key = F.xxhash64(F.col("doc_id"), text, F.coalesce(F.col("source"), F.lit("")))
-    out = rounded_copies(docs, key, seed)
-    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
-    decided = out.groupBy(F.col("row_key").alias(k)).agg(F.count(F.lit(1)).alias(n), F.sum(copies).alias(t))
+    named = lambda key: F.concat_ws("/", key, F.col("doc_id").cast("long"))
+    out = rounded_copies(docs, _key(), seed)
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.col("n"))
+    decided = out.groupBy(named(F.col("row_key")).alias(k)).agg(F.sum("n").alias(n), F.sum(copies).alias(t))
     twins = Window.partitionBy(k).orderBy(F.xxhash64(*docs.columns))
-    keyed = docs.withColumn(k, key).withColumn(at, F.row_number().over(twins)).join(decided, k)
-    even = F.floor(F.col(t) / F.col(n)) + F.when(F.col(at) <= F.col(t) % F.col(n), 1).otherwise(0)
-    times = keyed.withColumn(t, even.cast("int")).where(F.col(t) > 0)
+    keyed = docs.withColumn(k, named(_key())).withColumn(at, F.row_number().over(twins) - 1).join(decided, k)
+    times = keyed.withColumn(t, _shared_out(F.col(t), F.col(n), F.col(at)).cast("int")).where(F.col(t) > 0)
     return times.withColumn(t, F.explode(F.sequence(F.lit(1), F.col(t)))).select(*docs.columns)
