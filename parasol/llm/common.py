@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def batched(spark: SparkSession, n: int = 512) -> None:
-    """Rows in an Arrow batch handed to Python: texts may be long, so batches are short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    """Rows in an Arrow batch handed to Python: texts may be long, so batches are short. No result depends on it."""
+    spark.conf.set(BATCH, str(n))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """So many rows in an Arrow batch for what runs inside; then as before."""
+    usual = spark.conf.get(BATCH)
+    batched(spark, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, usual)

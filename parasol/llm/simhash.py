@@ -1,19 +1,23 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are 64-bit majorities of shingle hashes. Distinct fingerprints lie in tiles by the population
-counts of their four 16-bit quarters (for large radii, of the whole): two fingerprints differ in at least as many bits as these counts do, so
+counts of their four 16-bit quarters: two fingerprints differ in at least as many bits as these counts do, so
 tile pairs that differ by more than the radius are skipped and all others are compared whole, by numpy
 exclusive-or and bit counts. No pair within the radius is missed and no bucket is capped: a crowded tile is
 split into blocks, each of which meets every block of the neighbouring tiles.
 A tile returns a spanning forest of its links, never all pairs; components follow by hooking and shortcutting.
 
-Where a similarity is asked for, these components only say which texts may be near copies: within each, blocks of
-its texts meet, and pairs that are near by fingerprint are linked if the Jaccard index of their shingle sets confirms it.
+Where a similarity is asked for, a pair is compared only if it shares one of KEYS least shingles, each under an order
+of its own: tiles are by least shingle and by population count of the whole set of shingles, since sets whose counts
+differ too much can't be that similar. Components of what is near by fingerprint say which texts may be near copies:
+within each, blocks of its texts meet, and pairs that are near are linked if the Jaccard index of their shingle sets
+confirms it.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parasol.llm.common import batched, fresh, keep, parts
+from parasol.llm.common import batch_rows, fresh, keep, parts
 from parasol.llm.text import FOLD_CASE
 
-BLOCK, WIDE_BLOCK = 1024, 8192  # fingerprints in a tile block
+BLOCK = 1024  # fingerprints in a tile block
 STRIP = 1024  # compared at once
 SIDE = 17  # a quarter has 0 to 16 bits set
 
@@ -79,16 +83,28 @@ def fingerprints(docs: DataFrame, names: list[str], n: int) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
+def least_shingles(hashes: np.ndarray) -> list[int]:
+    """The least of the hashes under each of KEYS mixings; none of none."""
+    out = []
+    for k in range(KEYS if len(hashes) else 0):
+        h = (hashes ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        out.append(int((h * np.uint64(0xD6E8FEB86659FD93)).min()) - (1 << 63))
+    return out
+
+
 def set_fingerprints(docs: DataFrame, names: list[str], n: int) -> DataFrame:
-    """docs (with text), the long column name, a hash of the text's set of shingles, and the fingerprint of that set."""
-    columns = ["name", *names]
-    schema = docs.withColumns({c: F.lit(0).cast("long") for c in columns}).schema
+    """docs (with text), the long column name, a hash of the text's set of shingles, the fingerprint of that set, its
+    count and its least shingles as keys."""
+    columns = ["name", *names, "count"]
+    schema = docs.withColumns({c: F.lit(0).cast("long") for c in columns}).withColumn("keys", F.array(F.lit(0).cast("long"))).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [np.unique(shingle_hashes(t, n)) for t in pdf["text"]]
-            found = [[xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63), *fingerprint(h, len(names))] for h in sets]
-            yield pdf.assign(**dict(zip(columns, np.array(found, np.int64).reshape(-1, len(columns)).T, strict=True)))
+            found = [[xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63), *fingerprint(h, len(names)), len(h)] for h in sets]
+            found = dict(zip(columns, np.array(found, np.int64).reshape(-1, len(columns)).T, strict=True))
+            yield pdf.assign(**found, keys=[least_shingles(h) for h in sets])
 
     return docs.mapInPandas(run, schema)
 
@@ -133,9 +149,9 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, radius: int, wide: i
             found.clear()
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def links(others: np.ndarray, same: bool) -> None:
-        for i in range(0, len(own), STRIP):
-            left = own[i : i + STRIP]
+    def links(block: np.ndarray, others: np.ndarray, same: bool) -> None:
+        for i in range(0, len(block), STRIP):
+            left = block[i : i + STRIP]
             for j in range(i if same else 0, len(others), STRIP):
                 right = others[j : j + STRIP]
                 near = np.bitwise_count(left[:, None, first] ^ right[None, :, first]) <= radius
@@ -151,64 +167,86 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, radius: int, wide: i
                     found[:] = [forest(*map(np.concatenate, zip(*found, strict=True)))]
 
     for batch in batches:
-        key = batch.column(0).to_numpy() * (1 << 20) + batch.column(1).to_numpy()
+        place, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         home = batch.column(2).to_numpy(zero_copy_only=False)
         ends = batch.column(3).offsets.to_numpy()
         flat = batch.column(3).values.to_numpy().view(np.uint64)
-        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (home[1:] != home[:-1])])
-        for i, j in zip(cut, [*cut[1:], len(key)], strict=True):
+        new = (place[1:] != place[:-1]) | (part[1:] != part[:-1]) | (home[1:] != home[:-1])
+        cut = np.flatnonzero(np.r_[True, new])
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(place)], strict=True):
             block = flat[ends[i] : ends[j]].reshape(-1, width)
-            if key[i] != tile:
+            if (place[i], part[i]) != tile:
                 if guests:
-                    links(np.concatenate(guests), False)
+                    links(own, np.concatenate(guests), False)
                 yield from settled()
-                tile, own, guests, held = key[i], np.zeros((0, width), np.uint64), [], 0
-            if home[i]:  # one row, so never cut by the end of a batch
-                own = block.copy()
-                links(own, True)
+                tile, own, guests, held = (place[i], part[i]), np.zeros((0, width), np.uint64), [], 0
+            if home[i]:
+                links(block, block, True)
+                links(own, block, False)
+                own = np.concatenate([own, block])
             else:
                 guests.append(block.copy())
                 held += len(block)
                 if held >= 1 << 16:
-                    links(np.concatenate(guests), False)
+                    links(own, np.concatenate(guests), False)
                     guests, held = [], 0
     if guests:
-        links(np.concatenate(guests), False)
+        links(own, np.concatenate(guests), False)
     yield from settled()
 
 
-def near_links(fps: DataFrame, radius: int, wide: int | None = None) -> DataFrame:
-    """Distinct fingerprints -> links (a, b) of their names, enough of them to join all that are near.
-
-    fps has the long column name and one or more of w0, w1, ... Near are those that differ in at most radius
-    bits of w0 and, if there are more words, in at most `wide` bits of all.
-    """
-    spark = fps.sparkSession
-    words = [c for c in fps.columns if c.startswith("w")]
-    quarters, most = (4, BLOCK) if radius <= 3 else (1, WIDE_BLOCK)
-    # Small radii tell quarters apart, large ones whole counts: a step for each neighbour must pay.
-    count = lambda k: F.bit_count(F.shiftrightunsigned("w0", 16 * k).bitwiseAND(0xFFFF)) if quarters > 1 else F.bit_count("w0")
+def near_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints (long w0) -> links (a, b) between them, enough to join all that differ in at most radius bits."""
+    count = lambda k: F.bit_count(F.shiftrightunsigned("w0", 16 * k).bitwiseAND(0xFFFF))
     key = F.lit(0)
-    for k in range(quarters):
+    for k in range(4):
         key = key * SIDE + count(k)
-    body = F.array(*(["name", *words] if len(words) > 1 else ["w0"]))
-    rows = fps.select(key.cast("long").alias("tile"), body.alias("body"))
+    rows = fps.select(key.cast("long").alias("tile"), F.array("w0").alias("body"))
     # At most 17^4 tiles, whatever the input: their block counts may be broadcast.
-    counts = keep(rows.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("blocks")))
-    tiles = rows.join(F.broadcast(counts), "tile").withColumn("block", F.pmod(F.xxhash64("body"), F.col("blocks")))
-    tiles = keep(tiles.groupBy("tile", "block", "blocks").agg(F.flatten(F.collect_list("body")).alias("fps")))
+    counts = F.broadcast(keep(rows.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))))
+    tiles = _tiles(rows.join(counts, "tile"), ["tile"])
     # A step that leaves the grid may land on a tile that is farther off: it costs a comparison, no more.
-    step = F.explode(F.array(*map(F.lit, neighbours(radius, quarters)))).alias("step")
-    guests = tiles.select("tile", "fps", step).select((F.col("tile") + F.col("step")).alias("tile"), "fps")
-    guests = guests.join(F.broadcast(counts), "tile")
+    step = F.explode(F.array(*map(F.lit, neighbours(radius, 4)))).alias("step")
+    guests = tiles.select("tile", "fps", step).select((F.col("tile") + F.col("step")).alias("tile"), "fps").join(counts, "tile")
+    return _meet(tiles, guests, 1, radius, 0)
+
+
+def _tiles(rows: DataFrame, tile: list[str]) -> DataFrame:
+    """Rows of a tile (body, and how many blocks the tile has) -> its blocks."""
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("body"), F.col("blocks")))
+    return keep(blocks.groupBy(*tile, "block", "blocks").agg(F.flatten(F.collect_list("body")).alias("fps")))
+
+
+def _meet(tiles: DataFrame, guests: DataFrame, width: int, radius: int, wide: int) -> DataFrame:
+    """Blocks of tiles meet those before them in the tile, and the guests (tile, blocks, fps), which come to every block of it."""
     below = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("block")
     guests = guests.select("tile", below("blocks"), "fps")
     guests = guests.unionByName(tiles.where(F.col("block") > 0).select("tile", below("block"), "fps"))
     meet = tiles.withColumn("home", F.lit(True)).unionByName(guests.withColumn("home", F.lit(False)), allowMissingColumns=True)
-    meet = meet.select("tile", "block", "home", "fps").repartition(parts(spark), "tile", "block")
+    meet = meet.select("tile", "block", "home", "fps").repartition(parts(tiles.sparkSession), "tile", "block")
     meet = meet.sortWithinPartitions("tile", "block", F.desc("home"))
-    width = len(words) + (len(words) > 1)
-    return meet.mapInArrow(lambda it: _compare(it, width, radius, wide or 0), "a long, b long")
+    return meet.mapInArrow(lambda it: _compare(it, width, radius, wide), "a long, b long")
+
+
+def shared_links(fps: DataFrame, radius: int, wide: int, similarity: float) -> DataFrame:
+    """Sets of shingles -> links (a, b) of their names, enough of them to join all that share a key, are of counts that
+    the similarity allows, and differ in at most radius bits of w0 and `wide` bits of all words.
+
+    fps has the long columns name, count, w0, w1, ... and keys. Classes of counts are so wide that only neighbours can
+    hold a pair.
+    """
+    words = [c for c in fps.columns if c.startswith("w")]
+    level = F.floor(F.log("count") / (math.log(1 / similarity) * (1 + 1e-9))).alias("level")
+    rows = fps.where("count > 0").select("name", level, F.array("name", *words).alias("body"), F.posexplode("keys").alias("at", "key"))
+    rows = rows.select(F.xxhash64("at", "key").alias("key"), "level", "body")
+    # Most keys are of one text and meet nothing.
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = keep(rows.join(shared, "key", "left_semi"))
+    counts = rows.groupBy("key", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    tiles = _tiles(rows.join(counts, ["key", "level"]).withColumn("tile", F.xxhash64("key", "level")), ["key", "level", "tile"])
+    guests = tiles.select("key", (F.col("level") + 1).alias("level"), "fps").join(counts, ["key", "level"])
+    guests = guests.withColumn("tile", F.xxhash64("key", "level"))
+    return _meet(tiles, guests, 1 + len(words), radius, wide)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,7 +284,7 @@ def with_components(docs: DataFrame, n: int = 3, radius: int = 3) -> DataFrame:
     """
     rows = keep(fingerprints(_rows(docs), ["w0"], n).drop("text"))
     fps = keep(rows.groupBy("w0").agg(F.min("doc_id").alias("least")).withColumn("name", F.col("w0")))
-    return _named(rows, fps, components(near_links(fps.drop("least"), radius)), ["w0"])
+    return _named(rows, fps, components(near_links(fps, radius)), ["w0"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -269,6 +307,7 @@ def report(docs: DataFrame) -> DataFrame:
 def _confirm(batches: Iterator[pa.RecordBatch], radius: int, wide: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows of a meeting of two blocks come together, those of its own block first: links of similar sets, as a forest."""
     meeting, own, found = None, [], []
+    bits_of = np.zeros((0, 0), np.uint64)  # of own
     lead: dict[int, int] = {}  # of the sets at hand, by links confirmed
 
     def root(x: int) -> int:
@@ -278,9 +317,12 @@ def _confirm(batches: Iterator[pa.RecordBatch], radius: int, wide: int, similari
         return x
 
     def links(name: int, words: np.ndarray, shingles: frozenset) -> None:
+        nonlocal bits_of
         if not own:
             return
-        bits = np.bitwise_count(np.array([o[1] for o in own]) ^ words)
+        if len(bits_of) < len(own):  # doubled when full
+            bits_of = np.array([own[k % len(own)][1] for k in range(2 * len(own))])
+        bits = np.bitwise_count(bits_of[: len(own)] ^ words)
         for k in np.flatnonzero((bits[:, 0] <= radius) & (bits.sum(axis=1, dtype=np.int64) <= wide)):
             other, _, theirs = own[k]
             x, y = root(name), root(other)
@@ -294,10 +336,12 @@ def _confirm(batches: Iterator[pa.RecordBatch], radius: int, wide: int, similari
     for batch in batches:
         for at, home, name, words, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at != meeting:
-                meeting, own, lead = at, [], {}
+                meeting, own, lead, bits_of = at, [], {}, bits_of[:0]
             words, shingles = np.array(words, np.int64).view(np.uint64), frozenset(np.frombuffer(shingles, np.uint64).tolist())
             links(name, words, shingles)
             if home:
+                if len(own) < len(bits_of):
+                    bits_of[len(own)] = words
                 own.append((name, words, shingles))
         if found:
             a, b = zip(*found, strict=True)
@@ -332,6 +376,7 @@ def confirmed_links(texts: DataFrame, n: int, radius: int, wide: int, similarity
 
 MEMBERS, MEMBER_BYTES = 512, 8 << 20  # texts in a block that is confirmed, bytes of their shingles
 SIMILARITY = 0.8
+KEYS = 8  # a pair at 0.8 shares none of so many least shingles with probability 0.2^8 = 2.6e-6
 #: Bits of 64, and of 256, in which candidates differ at most. Sets of equal size at 0.8 differ in a bit with probability
 #: 0.1515, so such a pair is beyond the first with probability 3.5e-5, beyond the second with 8e-7; less for sets of unlike size. The
 #: smallest that can be at 0.8 (four shingles within five: 0.1875) are missed with 1.7e-3.
@@ -339,25 +384,21 @@ NEAR_BITS, NEAR_WIDE_BITS = 22, 68
 
 
 def near_copies(docs: DataFrame, n: int = 5, radius: int = NEAR_BITS, wide: int = NEAR_WIDE_BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, row, w0 to w3, component_id as with_components, by links between texts whose n-word shingle sets have at
-    least this Jaccard index. Blank texts are linked with each other alone."""
+    """doc_id, row, count (distinct shingles) and component_id as with_components, by links between texts whose n-word
+    shingle sets have at least this Jaccard index. Blank texts are linked with each other alone."""
     names = [f"w{k}" for k in range(4)]
     rows = keep(set_fingerprints(_rows(docs), names, n).drop("text"))
-    fps = keep(rows.groupBy("name", *names).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
-    # A row of a wide tile block holds up to 330 kB: few of them go into an Arrow batch.
-    spark, setting = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(setting)
-    batched(spark, 16)
-    blank = F.lit(True)
-    for c in names:
-        blank = blank & (F.col(c) == 0)
-    maybe = components(near_links(fps.where(~blank).select("name", *names), radius, wide))
-    named = fps.select(F.col("name").alias("node"), F.array(*names).alias("words"), "row").join(maybe, "node")
-    one = _rows(docs).select("row", "text").join(named, "row").dropDuplicates(["node"])
-    links = confirmed_links(one.withColumnRenamed("node", "name"), n, radius, wide, similarity)
-    roots = components(links)
-    batched(spark, int(usual))
-    return _named(rows, fps.drop("row", *names), roots, ["name"]).drop("name")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))  # the row that stands for the set
+    fps = rows.groupBy("name", *names, "count").agg(least.alias("first"), F.first("keys").alias("keys"))
+    fps = keep(fps.select("name", *names, "count", "keys", F.col("first.doc_id").alias("least"), F.col("first.row").alias("row")))
+    maybe = components(shared_links(fps.select("name", "count", "keys", *names), radius, wide, similarity))
+    named = fps.select(F.col("name").alias("node"), F.array(*names).alias("words"), F.col("least").alias("doc_id"), "row").join(maybe, "node")
+    # A row's key is its id and a hash, so only rows that share an id could be taken for one another.
+    given = _rows(docs).select(F.col("doc_id").alias("id"), F.col("row").alias("own"), "text")
+    one = given.join(named, (F.col("own") == F.col("row")) & F.col("id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["node"])
+    with batch_rows(docs.sparkSession, 64):  # a text of 20,000 words has shingles of 160 kB
+        links = keep(confirmed_links(one.select(F.col("node").alias("name"), "words", "text", "root"), n, radius, wide, similarity))
+    return _named(rows.drop("keys", *names), fps.select("name", "least"), components(links), ["name"]).drop("name")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -367,17 +408,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     words are no copies of anything and stay. Of repeated rows one stays.
     """
     found = near_copies(docs)
-    blank = F.lit(True)
-    for k in range(4):
-        blank = blank & (F.col(f"w{k}") == 0)
-    (row,) = fresh(docs, "_row")
-    leads = found.groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("row"))
-    stay = leads.select("row").unionByName(found.where(blank).select("row")).distinct().withColumnRenamed("row", row)
+    row, id_ = fresh(docs, "_row", "_id")
+    lead = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
+    leads = found.where("count > 0").groupBy("component_id").agg(F.min(lead).alias(row)).withColumnRenamed("component_id", id_)
+    blank = found.where("count = 0").select(F.col("doc_id").alias(id_), F.col("row").alias(row)).distinct()
+    stay = leads.select(id_, row).unionByName(blank)
     keyed = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    kept = keyed.join(stay, row, "left_semi")
-    return _once(kept, row).select(*docs.columns)
-
-
-def _once(rows: DataFrame, key: str) -> DataFrame:
-    """One of the rows that share a key."""
-    return rows.dropDuplicates([key])
+    kept = keyed.join(stay.withColumnRenamed(row, row + "_"), (F.col(row) == F.col(row + "_")) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", row]).select(*docs.columns)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parasol.llm import ann, decontamination, extraction, langid, lm, mixing, quality, sharding, simhash, substrings
+from parasol.llm import ann, common, decontamination, extraction, langid, lm, mixing, quality, sharding, simhash, substrings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and river stone walks under bright morning light over quiet fields where old trees stand".split()
@@ -95,6 +95,30 @@ def test_mix(docs, none):
     assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect())[1] == 1
 
 
+def test_mix_whatever_the_batches(spark):
+    """Copies depend neither on batches nor on partitions, whole repeated rows included, and stage and query agree."""
+    rows = [(k, " ".join(["w"] * (1 + k * 37 % 400)), "en", f"s{k % 3}", k) for k in range(2500)] + [(7, "w w w", "en", "s1", 7)] * 700
+    docs = spark.createDataFrame(rows, DOCS)
+    usual = spark.conf.get(common.BATCH), spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for batch, partitions in ((7, 3), (512, 8), (10_000, 4)):
+            spark.conf.set(common.BATCH, str(batch))
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            found.append(Counter(map(tuple, mixing.mix(docs.repartition(partitions)).collect())))
+    finally:
+        spark.conf.set(common.BATCH, usual[0])
+        spark.conf.set("spark.sql.shuffle.partitions", usual[1])
+    assert found[0] == found[1] == found[2] and found[0].total() == len(rows)
+    taken = Counter()
+    for r, n in found[0].items():
+        taken[r[0]] += n * r[5]
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect()) == +taken
+    for s in ("s0", "s1", "s2"):
+        own = [(r, n) for r, n in found[0].items() if r[6] == s]
+        assert abs(sum(r[4] * n for r, n in own) - own[0][0][3]) <= 400 and all(r[4] <= 2 * r[1] for r, _ in own)
+
+
 # ---- decontamination
 
 
