@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parasol.functions.geo import along, length
+from parasol.sources.lineage import cut
 
 CELL = 50.0  # fixed value: cells of the street index
 RING = 16.0  # first ring in which a point's sidewalk is sought
@@ -48,10 +51,11 @@ def attach(points: DataFrame, stretches: DataFrame, key: str, scope: Column | No
     """The nearest sidewalk of every point (key, x, y): i, projection_m, rest_m, px, py, distance_m.
 
     Ties go to the segment loaded first, then to the earlier stretch. Points with nothing within a ring are
-    sought again in one eight times as wide, until all are found; only those few take part again. Without any
-    segment in scope a point has no row.
+    sought again in one eight times as wide, until all are found or the ring is as wide as all points and stretches
+    together; only those few take part again, written to the checkpoint folder. Without any segment in scope a point
+    has no row.
     """
-    out, left, radius = None, points, RING
+    out, left, radius, widest = None, points, RING, math.inf
     order = F.struct("d", F.col("ord"), "p")
     while True:
         cell = _cells(F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius, radius)
@@ -63,10 +67,18 @@ def attach(points: DataFrame, stretches: DataFrame, key: str, scope: Column | No
         best = met.where(F.col("d") <= radius).groupBy(key).agg(F.min_by(pick, order).alias("n"))
         best = best.select(key, "n.i", "n.a", "n.b", "n.projection_m", (F.col("n.whole") - F.col("n.projection_m")).alias("rest_m"), "n.px", "n.py", F.col("n.d").alias("distance_m"))
         out = best if out is None else out.unionByName(best)
-        left = left.join(best.select(key), key, "left_anti")
-        radius *= 8
-        if radius > 1e6 or left.isEmpty():
+        left = cut(left.join(best.select(key), key, "left_anti"))
+        if radius >= widest or left.isEmpty():
             return out
+        radius *= 8
+        if widest == math.inf:
+            widest = _extent(left.select("x", "y").unionByName(stretches.select(F.col("ax").alias("x"), F.col("ay").alias("y"))).unionByName(stretches.select(F.col("bx").alias("x"), F.col("by").alias("y"))))
+
+
+def _extent(places: DataFrame) -> float:
+    """The diagonal of the box of all places: no two are farther apart."""
+    x0, x1, y0, y1 = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return math.hypot(x1 - x0, y1 - y0) + 1.0 if x0 is not None else 0.0
 
 
 def followed_street(fixes: DataFrame, segments: DataFrame, key: str, expected: str = "expected") -> DataFrame:

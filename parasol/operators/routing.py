@@ -78,9 +78,9 @@ class Region:
         return path[::-1]
 
 
-def _routes(requests: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+def _routes(requests: pd.DataFrame, edges: pd.DataFrame, step_minutes: int) -> pd.DataFrame:
     region = Region(edges)
-    seconds = 60 * 15
+    seconds = 60 * step_minutes
     out = []
     for r in requests.to_dict("records"):
         steps: dict[int, int] = {}
@@ -134,13 +134,13 @@ def priced(edges: DataFrame, nodes: DataFrame, shade: DataFrame) -> DataFrame:
     return rows.withColumn("mx", (F.col("x_lo") + F.col("x_hi")) / 2).withColumn("my", (F.col("y_lo") + F.col("y_hi")) / 2).drop("x_lo", "x_hi", "y_lo", "y_hi")
 
 
-def routes(requests: DataFrame, edges: DataFrame) -> DataFrame:
-    """requests (attached, with region and start_step) by priced edges (with region) -> ROUTES."""
+def routes(requests: DataFrame, edges: DataFrame, step_minutes: int = 15) -> DataFrame:
+    """requests (attached, with region and start_step) by priced edges (with region; shade every step_minutes) -> ROUTES."""
     counts = requests.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
     again = counts.select(F.col("region").alias("zone"), F.col("groups").alias("salts"))
     asked = requests.withColumnRenamed("region", "zone").join(again, "zone").withColumn("part", F.pmod(F.xxhash64("route_id"), F.col("salts")).cast("int"))
     sent = edges.join(counts, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    return asked.groupBy("zone", "part").cogroup(sent.groupBy("region", "part")).applyInPandas(_routes, ROUTES)
+    return asked.groupBy("zone", "part").cogroup(sent.groupBy("region", "part")).applyInPandas(lambda a, b: _routes(a, b, step_minutes), ROUTES)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def replanned(navigated: DataFrame, fixes: DataFrame, requests: DataFrame, net:
     """Contexts of walks that left their route or went on after a stop, routed anew from where they are.
 
     The time is that of the request, or `clock` (HH:MM). Of several calls of one walk the last counts. A new
-    context is a new trace: start its walk's state afresh under it.
+    context is a new trace, on which run.navigated and its stream start the walk anew.
     """
     again = run.recalculations(navigated, fixes, requests)
     last = again.groupBy("route_id").agg(F.max_by(F.struct(*[c for c in again.columns if c != "route_id"]), "t_ms").alias("r")).select("route_id", "r.*").drop("t_ms", "recalculate")
@@ -56,6 +56,32 @@ def replanned(navigated: DataFrame, fixes: DataFrame, requests: DataFrame, net:
     return guidance(cut(last), net, shade)[2]  # few rows, read by every join of the routing
 
 
+def guided(fixes: DataFrame, requests: DataFrame, net: Network, shade: DataFrame, clock: str | None = None, context: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Whole walks with their new routes: (navigated, contexts), from the contexts of guidance(), made here if not given.
+
+    Each round routes every walk anew from its first call not yet answered and goes through it again under the new
+    trace, until no call is left; walks that called for nothing take no part. A call whose end cannot be reached is
+    answered by no trace: the walk goes on along the old one.
+    """
+    context = guidance(requests, net, shade)[2] if context is None else context
+    contexts = cut(context.withColumn("from_ms", F.lit(None).cast("long")))
+    got = cut(run.navigated(fixes, contexts))
+    answered = contexts.select("walk_id", F.lit(-1).cast("long").alias("until")).limit(0)
+    done = None
+    while True:
+        open_ = got.where("recalculate is not null").join(answered, "walk_id", "left").where("until is null or t_ms > until")
+        calls = cut(open_.groupBy("walk_id").agg(F.min("t_ms").alias("t_ms")))
+        rest = got.join(calls.select("walk_id"), "walk_id", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        if calls.isEmpty():
+            return done, contexts
+        anew = replanned(got.join(calls, ["walk_id", "t_ms"], "left_semi"), fixes, requests, net, shade, clock).join(calls.withColumnRenamed("t_ms", "from_ms"), "walk_id")
+        contexts = cut(contexts.unionByName(anew))
+        answered = cut(answered.unionByName(calls.withColumnRenamed("t_ms", "until")).groupBy("walk_id").agg(F.max("until").alias("until")))
+        called = calls.select("walk_id")
+        got = cut(run.navigated(fixes.join(called, "walk_id", "left_semi"), contexts.join(called, "walk_id", "left_semi")))
+
+
 def follow(fixes: DataFrame, context: DataFrame, out: str, checkpoint: str, on_recalculate: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Starts guidance of a stream of fixes; each micro-batch is appended to `out`, then its calls for a new route
     are handed over (for replanned())."""

@@ -65,4 +65,4 @@ def route(requests: DataFrame, net: Network, shade: DataFrame) -> DataFrame:
     ready = asked(requests, net, shade)
     regions = ready.select("region").distinct().select("region", F.explode(F.split("region", ",")).alias("tile"))
     priced = routing.priced(net.edges, net.nodes, shade).join(regions, "tile")
-    return routing.routes(ready, priced)
+    return routing.routes(ready, priced, net.step_minutes)

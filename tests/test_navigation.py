@@ -21,8 +21,16 @@ def test_loop(spark, tmp_path):
     assert got.count() == fixes.count()
     calls = run.recalculations(got, fixes, q)
     assert calls.count() > 0
-    anew = navigation.replanned(got, fixes, q, net, shade, "09:14")
-    assert {r["walk_id"] for r in anew.collect()} <= {r["route_id"] for r in calls.collect()} and anew.count() > 0
+    first = got.where("recalculate is not null").agg(F.min_by(F.struct("walk_id", "t_ms"), "t_ms")).first()[0]
+    one = fixes.where((F.col("walk_id") == first["walk_id"]) & (F.col("t_ms") <= first["t_ms"] + 5000)).cache()
+    whole, contexts = navigation.guided(one, q.where(F.col("route_id") == first["walk_id"]), net, shade, "09:14", context.where(F.col("walk_id") == first["walk_id"]))
+    rows = sorted(whole.collect(), key=lambda r: (r["walk_id"], r["t_ms"]))
+    assert len(rows) == one.count() and contexts.count() == 2
+    for a, b in zip(rows, rows[1:], strict=False):
+        if a["walk_id"] == b["walk_id"] and a["recalculate"] and b["s"] < a["s"]:
+            break  # on the new trace progress starts anew
+    else:
+        raise AssertionError("no walk was put on a new trace")
     fixes.coalesce(1).write.json(str(tmp_path / "in"))
     from parasol.sources import network
 
