@@ -11,16 +11,18 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|</?[a-zA-Z][^<>]*\Z",
-    re.S,
-)
+START = re.compile(r"<!--|<!\[CDATA\[|</?[a-zA-Z]|<[!?/]")
+#: Possessive, so that no text is read twice.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^"'<>]++|"[^"<]*+"|'[^'<]*+')*+)>""")
+BARE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+DEPTH = 512  # elements deeper than this are read as if they were not there, as browsers do; their text stays
 MARK = re.compile(r"""(?:\b(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))|\b(hidden)\b""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template")}
@@ -60,7 +62,7 @@ def _left_open(skipped: list[str], name: str) -> int:
     for ends, stop in (({"p"}, BLOCK), (CLOSES.get(name, set()), {"ul", "ol", "dl", "table", "select"})):
         if name not in BLOCK and name not in CLOSES:
             break
-        for k in range(left - 1, -1, -1):
+        for k in range(left - 1, -1, -1) if ends else ():
             if skipped[k] in ends:
                 left = k
             elif skipped[k] in stop:
@@ -88,10 +90,10 @@ class Page:
 
     def _read(self, source: str) -> None:
         open_: list[int] = [0]  # nodes
-        noise = 0  # depth of the stack at which what is dropped began
-        skipped: list[str] = []  # open tags in it
+        opened: Counter[str] = Counter()  # how many of each name are open
+        skipped: list[str] = []  # open tags in what is dropped
         articles = links = 0
-        at, n = 0, len(source)
+        at, n, last, last_open = 0, len(source), source.rfind(">"), source.rfind("<")
         tag, parent = self.tag, self.parent
 
         def text(piece: str) -> None:
@@ -110,29 +112,51 @@ class Page:
             if self.block[k]:
                 self._flush()
             self.end[k] = len(self.blocks)
+            opened[tag[k]] -= 1
             articles -= tag[k] in ("article", "main")
             links -= tag[k] == "a"
 
+        def after(end: str, start: int) -> int:
+            k = source.find(end, start)
+            return k + len(end) if k >= 0 else n
+
         while at < n:
-            m = TAG.search(source, at)
+            m = START.search(source, at)
             if m is None or m.start() > at:
                 stop = m.start() if m else n
                 if not skipped:
                     text(source[at:stop])
                 if m is None:
                     break
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            at, mark = m.start(), m[0]
+            if mark == "<!--" or mark == "<![CDATA[":
+                at = after("-->" if mark == "<!--" else "]]>", m.end())
                 continue
-            name, shut, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            if at > last:  # never ended: text, but for a tag that the page's end cuts off
+                if mark[-1].isalpha() and at == last_open:
+                    break
+                if not skipped:
+                    text(mark)
+                at = m.end()
+                continue
+            if not mark[-1].isalpha():
+                at = after(">", at)
+                continue
+            if found := TAG.match(source, at):
+                shut, name, attributes = found.groups()
+                at = found.end()
+            else:  # a quote or an angle that is out of place
+                shut, name = (found := BARE.match(source, at)).groups()
+                at = after(">", found.end())
+                attributes = source[found.end() : at - 1]
+            name = name.lower()
             ended = False  # what is skipped, by this tag
             if skipped:
                 if shut:
                     if name in skipped:
                         while skipped.pop() != name:
                             pass
-                    elif name in BLOCK and name not in ("body", "html") and not SCOPES & set(skipped) and any(tag[k] == name for k in open_):
+                    elif name in BLOCK and name not in ("body", "html") and not SCOPES & set(skipped) and opened[name]:
                         skipped.clear()  # ended with its parent
                         ended = True
                 elif name in RAW:
@@ -143,6 +167,7 @@ class Page:
                     ended = True
                 elif name not in VOID and not attributes.endswith("/"):
                     skipped[left:] = [name]
+                    del skipped[DEPTH:]
                 if ended:
                     pass
                 elif name in ("body", "article", "main") and (skipped and skipped[0] == "head" or not skipped):
@@ -153,7 +178,7 @@ class Page:
                 else:
                     continue
             if shut:
-                if any(tag[k] == name for k in reversed(open_)):
+                if opened[name]:
                     while tag[open_[-1]] != name:
                         close()
                     close()
@@ -172,7 +197,7 @@ class Page:
                     self._flush()
                 continue
             if name in BLOCK:
-                for k in range(len(open_) - 1, 0, -1):  # a block ends an open paragraph
+                for k in range(len(open_) - 1, 0, -1) if opened["p"] else ():  # a block ends an open paragraph
                     t = tag[open_[k]]
                     if t == "p":
                         while len(open_) > k:
@@ -193,7 +218,10 @@ class Page:
                 if not attributes.endswith("/"):
                     skipped = [name]
                 continue
+            if len(open_) > DEPTH:
+                continue
             k = len(tag)
+            opened[name] += 1
             tag.append(name)
             parent.append(open_[-1])
             self.block.append(name in BLOCK)
@@ -250,9 +278,10 @@ class Page:
         if self.tag[best] not in ("article", "main") and (owner := [k for k in path if self.tag[k] in ("article", "main")]):
             best = owner[-1] if len(owner) == 1 else owner[0]
         chosen = {best}
+        with_paragraph = {parent[j] for j in range(1, n) if self.tag[j] == "p"}
         siblings = [k for k in nodes if k != best and best != body and parent[k] == parent[best]]
         for k in siblings:
-            paragraphs = self.tag[k] in ("p", "h1") or any(self.tag[j] == "p" and parent[j] == k for j in range(k + 1, n))
+            paragraphs = self.tag[k] in ("p", "h1") or k in with_paragraph
             if self.tag[k] == "h1" and k < best or paragraphs and dense[k] >= least and L[k] * 3 <= C[k] and self.tag[best] not in ("article", "main"):
                 chosen.add(k)
         low, high = min(chosen), max(chosen)
@@ -272,8 +301,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages, from the whole html.
 
     Null or empty html, or a page without text outside navigation and the like, gives an empty text of 0
-    characters. Broken markup is read as browsers do in the main: open elements end with their parent, and what
-    is no tag is text. Repeated rows give repeated rows; further columns are not read.
+    characters. Broken markup is read as browsers do in the main, in time linear in the page: open elements end with
+    their parent, what is no tag is text, and elements more than DEPTH deep are left out, but not their text. Repeated rows give repeated rows; further columns are not read.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     schema = rows.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
