@@ -4,7 +4,8 @@ The two halves of a vector are quantised by codebooks of their own; a pair of ce
 A query walks the grid of cells by summed distance (here: falling summed inner product) from a heap, until the
 cells it has seen hold the wanted share of all vectors; the entries of those cells are reranked by the exact
 inner product. Equal vectors are one entry with their smallest ids, so a vector that fills a third of the table
-is compared once. Index blocks and query blocks meet pairwise; every row is indexed.
+is compared once. Entries lie in blocks of neighbouring cells, a crowded cell in several; a query goes to the blocks
+that hold a cell it probes, and to no other. Every row is indexed.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from parasol.llm.common import keep, parts
 
 CENTROIDS = 64  # of each half
 SAMPLE = 8192  # rows, at most, on which codebooks are fitted
-SHARE, LEAST = 0.55, 2000  # of all vectors, and number of vectors, that a query's cells hold at least
-BLOCK, QUERIES = 8192, 1024  # entries and queries of a block
+SHARE = 0.5  # of all distinct vectors, that a query's cells hold at least
+BLOCK = 8192  # entries
 STRIP = 256  # queries compared at once
-ENTRY = "vec array<float>, ids array<long>, cell int"
+ENTRY = "vec array<double>, ids array<long>, cell int"
+MEET = "eb int, home boolean, query_id long, vec array<double>, probed binary, ids array<long>, cell int"
 
 
 def codebook(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -63,35 +65,52 @@ def probes(first: np.ndarray, second: np.ndarray, held: np.ndarray, want: int) -
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.concatenate([*column.to_numpy(), np.zeros(0, np.float32)]).reshape(-1, width)
-
-
-def _nearest(queries: pd.DataFrame, entries: pd.DataFrame, width: int, cells: int, k: int) -> pd.DataFrame:
-    """The k nearest entries' rows of each query among the entries whose cell it probes."""
-    out: list[tuple[int, int, float]] = []
-    if len(entries) and len(queries):
-        entries = entries.sort_values("cell", kind="stable")
-        e32, at = _matrix(entries["vec"], width), entries["cell"].to_numpy()
-        e, ids = e32.astype(np.float64), entries["ids"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-        q = _matrix(queries["vec"], width).astype(np.float64)
+    return np.concatenate([*column.to_numpy(), np.zeros(0)]).reshape(-1, width)
+
+
+class Block:
+    """Entries of some cells, sorted by cell."""
+
+    def __init__(self, parts_: list[pd.DataFrame], width: int):
+        rows = pd.concat(parts_).sort_values("cell", kind="stable")
+        self.vectors, self.ids, self.cell = _matrix(rows["vec"], width), rows["ids"].to_numpy(), rows["cell"].to_numpy(np.int64)
+        self.cuts = np.flatnonzero(np.r_[True, self.cell[1:] != self.cell[:-1], True])
+
+    def nearest(self, queries: pd.DataFrame, cells: int, k: int) -> Iterator[tuple[int, int, float]]:
+        """The k nearest entries' rows of each query among the entries whose cell it probes."""
+        e, cuts = self.vectors, self.cuts
+        q, names = _matrix(queries["vec"], e.shape[1]), queries["query_id"].to_numpy(np.int64)
         bits = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in queries["probed"]]), axis=1, bitorder="little")[:, :cells]
-        names = queries["query_id"].to_numpy()
         for s in range(0, len(q), STRIP):
             score = np.full((min(STRIP, len(q) - s), len(e)), -np.inf)
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                who = np.flatnonzero(bits[s : s + STRIP, at[i]])
+                who = np.flatnonzero(bits[s : s + STRIP, self.cell[i]])
                 if len(who):
                     score[who, i:j] = q[s + who] @ e[i:j].T
             most = min(k + 1, len(e))  # one more: the query's own entry may hold no other row
             least = -np.partition(-score, most - 1, axis=1)[:, most - 1]
             for r in range(len(score)):
                 floor = least[r] - 1e-9 * (1 + abs(least[r])) if np.isfinite(least[r]) else -np.inf
-                near = np.flatnonzero((score[r] >= floor) & np.isfinite(score[r]))
-                own = names[s + r]
-                found = [(-math.fsum(q[s + r] * e[c]), int(v)) for c in near for v in ids[c] if v != own]
-                out += [(int(own), v, -d) for d, v in heapq.nsmallest(k, found)]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                near = np.flatnonzero((score[r] >= floor) & (score[r] > -np.inf))
+                own = int(names[s + r])
+                found = [(-math.fsum(q[s + r] * e[c]), int(v)) for c in near for v in self.ids[c] if v != own]
+                yield from ((own, v, -d) for d, v in heapq.nsmallest(k, found))
+
+
+def _meetings(batches: Iterator[pd.DataFrame], width: int, cells: int, k: int) -> Iterator[pd.DataFrame]:
+    """Rows of a block come together, its entries first, then the queries, of which few are held at once."""
+    at, entries, block = None, [], None
+    for pdf in batches:
+        for eb, rows in pdf.groupby("eb", sort=True):
+            if eb != at:
+                at, entries, block = eb, [], None
+            home = rows["home"].to_numpy(bool)
+            if home.any():
+                entries.append(rows[home])
+            asked = rows[~home]
+            if len(asked) and entries:
+                block = block or Block(entries, width)
+                yield pd.DataFrame(block.nearest(asked, cells, k), columns=["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE) -> DataFrame:
@@ -103,7 +122,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
     Further columns are not read.
     """
     spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<float>")
+    v = F.col("embedding").cast("array<double>")
     usable = (
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -125,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
 
     def cell_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _matrix(pdf["vec"], width).astype(np.float64)
+            x = _matrix(pdf["vec"], width)
             at = quantise(x[:, :half], books[0]) * len(books[1]) + quantise(x[:, half:], books[1])
             yield pdf.assign(cell=at.astype("int32"))
 
@@ -137,34 +156,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
     held = np.zeros(grid, np.int64)
     for r in entries.groupBy("cell").count().collect():  # at most CENTROIDS squared rows
         held[r["cell"]] = r["count"]
-    want = max(LEAST, math.ceil(share * int(held.sum())))
+    want = max(k + 1, math.ceil(share * int(held.sum())))  # k others, at the least
+    # Cells that lie together share a block; a crowded cell is dealt over several.
+    base, spread = (np.cumsum(held) - held) // BLOCK, np.maximum(1, held // BLOCK)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = _matrix(pdf["vec"], width).astype(np.float64)
+            x = _matrix(pdf["vec"], width)
             first, second = x[:, :half] @ books[0].T, x[:, half:] @ books[1].T
             marks = np.zeros((len(x), grid), bool)
             for i in range(len(x)):
                 marks[i, probes(first[i], second[i], held, want)] = True
-            yield pdf.assign(probed=[m.tobytes() for m in np.packbits(marks, axis=1, bitorder="little")])
+            full = [np.flatnonzero(m & (held > 0)) for m in marks]
+            goes = [sorted({b for c in cells for b in range(int(base[c]), int(base[c] + spread[c]))}) for cells in full]
+            yield pdf.assign(probed=[m.tobytes() for m in np.packbits(marks, axis=1, bitorder="little")], blocks=goes)
 
-    asked = keep(asked.repartition(parts(spark), "query_id").mapInPandas(probe, "query_id long, vec array<float>, probed binary"))
-    n_entries, n_asked = int(held.sum()), asked.count()
-    if not n_asked:
-        return empty
-    # Cells that lie together share a block; a crowded cell is dealt over several.
-    ahead = np.cumsum(held) - held
-    base, spread = ahead // BLOCK, np.maximum(1, held // BLOCK)
+    asked = keep(asked.repartition(parts(spark), "query_id").mapInPandas(probe, "query_id long, vec array<double>, probed binary, blocks array<int>"))
     place = F.element_at(F.lit(base.tolist()), F.col("cell") + 1)
     wide = F.element_at(F.lit(spread.tolist()), F.col("cell") + 1)
-    e_block = (place + F.pmod(F.xxhash64("vec"), wide)).cast("int")
-    q_blocks = -(-n_asked // QUERIES)
-    e_blocks = int((base + spread).max())
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    e = entries.withColumn("eb", e_block).withColumn("qb", every(q_blocks))
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("eb", every(e_blocks))
-    near = q.groupBy("eb", "qb").cogroup(e.groupBy("eb", "qb"))
-    near = near.applyInPandas(lambda a, b: _nearest(a, b, width, grid, k), "query_id long, vec_id long, score double")
+    e = entries.withColumn("eb", (place + F.pmod(F.xxhash64("vec"), wide)).cast("int")).withColumns({"home": F.lit(True), "query_id": F.lit(0).cast("long")})
+    q = asked.withColumn("eb", F.explode("blocks")).drop("blocks").withColumns({"home": F.lit(False), "cell": F.lit(0)})
+    names = [c.split()[0] for c in MEET.split(", ")]
+    meet = e.unionByName(q, allowMissingColumns=True).select(*names).repartition(max(parts(spark), int((base + spread).max())), "eb")
+    meet = meet.sortWithinPartitions("eb", F.desc("home"))
+    near = meet.mapInPandas(lambda it: _meetings(it, width, grid, k), "query_id long, vec_id long, score double")
     best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.d")).alias("score"))
