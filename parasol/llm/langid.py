@@ -1,8 +1,9 @@
 """Language by compression: a text is encoded with a zstandard raw-content dictionary for each language, and the
 language whose dictionary makes it smallest wins; where the next one does as well, the text is rejected.
 
-Fitting is bounded: passages of at most PASSAGE characters from about SAMPLE documents of each of at most
-at most LANGUAGES languages (more are an error), SIZE bytes of dictionary each. Classification reads whole texts.
+Fitting is bounded: passages of at most PASSAGE characters from about SAMPLE documents of a language, SIZE bytes of
+dictionary each, and never more than ALL bytes of dictionaries, which many languages share evenly. Every learned
+language has a dictionary. Classification reads whole texts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parasol.llm.common import fresh
 
-SIZE, PASSAGE, SAMPLE, LANGUAGES = 32 << 10, 1500, 200, 256
+SIZE, PASSAGE, SAMPLE, ALL = 32 << 10, 1500, 200, 32 << 20
 SHARED = 4  # words: runs of so many that occur before, in any language, are left out of dictionaries
 SHORT = 1500  # bytes: shorter texts are encoded by optimal parsing with matches from three bytes on
 PIECE = 4096  # bytes encoded at once: in longer pieces a text would lean on itself, not on the dictionary
@@ -73,22 +74,22 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionaries by language from training rows; more than LANGUAGES languages are an error."""
+    """Dictionaries by language from training rows."""
     rows = training_rows(docs).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    counts = rows.groupBy("lang").count().collect()  # names of languages
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE / r["count"]))])
+    size = min(SIZE, ALL // len(counts))
+    sample = max(8.0, SAMPLE * size / SIZE)
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
     draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     length = F.length("text")
     start = F.lit(1) + F.pmod(F.shiftrightunsigned("h", 31), F.greatest(F.lit(1), length - PASSAGE))
     picked = rows.where(draw < F.element_at(rate, F.col("lang"))).select("lang", "h", F.substring(F.col("text"), start.cast("int"), F.lit(PASSAGE)).alias("t"))
-    return dictionaries([(r["lang"], r["h"], r["t"]) for r in picked.collect()], [r["lang"] for r in counts])
+    return dictionaries([(r["lang"], r["h"], r["t"]) for r in picked.collect()], [r["lang"] for r in counts], size)
 
 
-def dictionaries(passages: list[tuple[str, int, str]], names: list[str]) -> dict[str, bytes]:
+def dictionaries(passages: list[tuple[str, int, str]], names: list[str], size: int = SIZE) -> dict[str, bytes]:
     """Passages in order of hash, without word runs that another language has or that came before (copies, licences)."""
     rows = [(lang, folded(t).split()) for lang, _, t in sorted(passages)]
     of: dict[tuple, set[str]] = defaultdict(set)
@@ -98,7 +99,7 @@ def dictionaries(passages: list[tuple[str, int, str]], names: list[str]) -> dict
     seen: set[tuple] = set()
     out = dict.fromkeys(names, b"")
     for lang, words in rows:
-        if len(out[lang]) >= SIZE:
+        if len(out[lang]) >= size:
             continue
         drop: set[int] = set()
         for k in range(len(words) - SHARED + 1):
@@ -107,7 +108,7 @@ def dictionaries(passages: list[tuple[str, int, str]], names: list[str]) -> dict
                 drop.update(range(k, k + SHARED))
             seen.add(run)
         out[lang] += b"".join(w + b" " for k, w in enumerate(words) if k not in drop)
-    return {k: v[:SIZE] for k, v in out.items()}
+    return {k: v[:size] for k, v in out.items()}
 
 
 def predicted(docs: DataFrame, learned: dict[str, bytes], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -118,7 +119,7 @@ def predicted(docs: DataFrame, learned: dict[str, bytes], names: tuple[str, str,
     """
     docs = docs.drop(*names)
     schema = docs.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0), names[2]: F.lit(True)}).schema
-    sent = docs.sparkSession.sparkContext.broadcast(learned)  # LANGUAGES times SIZE bytes at most
+    sent = docs.sparkSession.sparkContext.broadcast(learned)  # ALL bytes at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Compressors(sent.value)
