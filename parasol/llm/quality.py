@@ -140,6 +140,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = usable.where(draw < SAMPLE / max(1, n)).orderBy(draw).limit(2 * SAMPLE)  # bounded, so it may be broadcast
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Where documents share an id, the least by hash stands for them: as many rows as labels, whatever the table.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -147,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "at": [a for a, _ in f], "x": [x.astype(np.float32) for _, x in f], "y": pdf["quality"]})
 
     found = rows.mapInPandas(run, "doc_id long, at array<int>, x array<float>, y int")
-    taken = sorted(found.limit(4 * SAMPLE).collect(), key=lambda r: (r["doc_id"], r["y"], len(r["at"]), r["at"])) if n else []
+    taken = sorted(found.collect(), key=lambda r: (r["doc_id"], r["y"], len(r["at"]), r["at"])) if n else []
     return fit([(r["at"], r["x"], r["y"]) for r in taken])
 
 
