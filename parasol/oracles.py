@@ -134,7 +134,7 @@ ORACLES["sidewalk_layer"] = _with(SEGMENT, SHADE) + """
 SELECT i, CASE WHEN val <> 255 THEN val / 100.0::DOUBLE END AS fraction_ombre, val = 255 AS indetermine, low_conf = 1 AS confiance_faible, 3 AS n_points FROM shade WHERE hhmm = '10:30'"""
 
 ORACLES["attach_fixes"] = _with(SEGMENT, FIX) + f"""
-, pair AS (SELECT f.event_id, f.x, f.y, s.*, {_near("f", "s")} AS t FROM fix f, strip0 s WHERE s.i < 1000),
+, pair AS (SELECT f.event_id, f.x, f.y, s.*, {_near("f", "s")} AS t FROM fix f, strip0 s),
 dist AS (SELECT *, {_pair("pair", "pair")} AS d FROM pair),
 best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, ord, p) AS k FROM dist)
 SELECT event_id, i, round(off_ + t * len, 3) AS projection_m, round(whole - (off_ + t * len), 3) AS rest_m, round(d, 3) AS distance_m FROM best WHERE k = 1"""
@@ -146,7 +146,7 @@ SELECT event_id, count(*) AS n, round(min(d), 3) AS d_min, round(max(d), 3) AS d
 
 ORACLES["followed_streets"] = _with(SEGMENT, FIX) + f"""
 , place AS (SELECT DISTINCT i, floor(x / 50) AS cx, floor(y / 50) AS cy FROM (
-  SELECT i, x0 AS x, y0 AS y FROM seg UNION ALL SELECT i, x1, y1 FROM seg UNION ALL SELECT i, x2, y2 FROM seg) WHERE i < 1000),
+  SELECT i, x0 AS x, y0 AS y FROM seg UNION ALL SELECT i, x1, y1 FROM seg UNION ALL SELECT i, x2, y2 FROM seg)),
 met AS (SELECT DISTINCT f.event_id, f.x, f.y, p.i FROM fix f JOIN place p ON abs(floor(f.x / 50) - p.cx) <= 1 AND abs(floor(f.y / 50) - p.cy) <= 1),
 pair AS (SELECT m.event_id, m.x, m.y, s.*, {_near("m", "s")} AS t FROM met m JOIN strip0 s USING (i)),
 dist AS (SELECT event_id, i, rue, cote, ord, min({_pair("pair", "pair")}) AS d FROM pair GROUP BY ALL),
@@ -154,7 +154,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, ord) AS
 SELECT event_id, i, rue, cote, round(d, 3) AS d, round(de, 3) AS d_expected FROM best WHERE k = 1"""
 
 ORACLES["facing_sides"] = _with(SEGMENT) + f"""
-, way AS (SELECT *, sqrt((x2 - x0) ** 2 + (y2 - y0) ** 2) AS n FROM seg WHERE rue IS NOT NULL AND i < 1000),
+, way AS (SELECT *, sqrt((x2 - x0) ** 2 + (y2 - y0) ** 2) AS n FROM seg WHERE rue IS NOT NULL),
 cand AS (
   SELECT a.i, c.i AS ci, c.cote AS ccote, a.x1 AS x, a.y1 AS y FROM way a JOIN way c ON a.rue = c.rue AND a.cote <> c.cote
   WHERE abs(((a.x2 - a.x0) * (c.x2 - c.x0) + (a.y2 - a.y0) * (c.y2 - c.y0)) / (a.n * c.n)) >= cos(radians(35))
@@ -178,7 +178,7 @@ SELECT lo, hi, j, round(l * (1 + sun) + fix, 6) AS cout_1, round(l * (1 + 4 * su
 ORACLES["passage_steps"] = _with(SEGMENT, REQUEST) + f"""
 , q AS (SELECT route_id, {x93("dep_lon", "dep_lat")} AS x, {y93("dep_lon", "dep_lat")} AS y FROM request)
 SELECT route_id, i, CAST(least(40 + floor(40 * sqrt(((x0 + x2) / 2 - x) ** 2 + ((y0 + y2) / 2 - y) ** 2) / 1.3 / 900), 47) AS INT) AS pas
-FROM q, seg WHERE i % 10 = 0 AND i < 1000"""
+FROM q, seg"""
 
 #: Bellman-Ford on every rung of every request at once; a row's figures are those of its cheapest path.
 ORACLES["route_summary"] = (
@@ -364,7 +364,7 @@ SELECT p.route_id, round(p.s, 3) AS s, x.n, x.texte, round(greatest(0, x.s1 - p.
 FROM place p JOIN said x ON x.route_id = p.route_id AND p.s >= x.s0 AND p.s < x.s1 LEFT JOIN said y ON y.route_id = p.route_id AND y.n = x.n + 1"""
 
 FACE = f"""
-way AS (SELECT *, sqrt((x2 - x0) ** 2 + (y2 - y0) ** 2) AS n FROM seg WHERE rue IS NOT NULL AND i < 1000),
+way AS (SELECT *, sqrt((x2 - x0) ** 2 + (y2 - y0) ** 2) AS n FROM seg WHERE rue IS NOT NULL),
 cand AS (
   SELECT a.i, c.i AS ci, a.x1 AS x, a.y1 AS y FROM way a JOIN way c ON a.rue = c.rue AND a.cote <> c.cote
   WHERE abs(((a.x2 - a.x0) * (c.x2 - c.x0) + (a.y2 - a.y0) * (c.y2 - c.y0)) / (a.n * c.n)) >= cos(radians(35))

@@ -270,7 +270,7 @@ def headings_on_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def planner_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions with shade."""
-    got = instructions.planner(city.walks(spark, sf_dir), city.segments(spark).where("i < 1000"), city.shade(spark).select("i", "j", "low_conf"))
+    got = instructions.planner(city.walks(spark, sf_dir), city.segments(spark), city.shade(spark).select("i", "j", "low_conf"))
     return got.select("route_id", "n", "type", "texte", "distance_m", "pct_ombre", "indetermine", "confiance_faible")
 
 
