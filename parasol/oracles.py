@@ -238,7 +238,7 @@ ORACLES["all_costs"] = (
   SELECT lo AS u, hi AS v, l + CASE WHEN kind = 'traversee' THEN CASE WHEN src = 'osm_crossing' THEN 15 ELSE 30 END ELSE 0 END AS cost FROM edge
   UNION ALL SELECT hi, lo, l + CASE WHEN kind = 'traversee' THEN CASE WHEN src = 'osm_crossing' THEN 15 ELSE 30 END ELSE 0 END FROM edge),
 p(source, node, cost) USING KEY (source, node) AS (
-  SELECT range, range, 0.0::DOUBLE FROM range(0, 144, 4)
+  SELECT range, range, 0.0::DOUBLE FROM range(144)
   UNION
   SELECT p.source, l.v, min(p.cost + l.cost) FROM p JOIN links l ON l.u = p.node LEFT JOIN recurring.p AS q ON q.source = p.source AND q.node = l.v
   WHERE q.cost IS NULL OR p.cost + l.cost < q.cost - 1e-9 GROUP BY p.source, l.v)
