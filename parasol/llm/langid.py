@@ -21,7 +21,6 @@ from parasol.llm.common import fresh
 
 SIZE, PASSAGE, SAMPLE, ALL = 32 << 10, 1500, 200, 32 << 20
 SHARED = 4  # words: runs of so many that occur before, in any language, are left out of dictionaries
-SHORT = 1500  # bytes: shorter texts are encoded by optimal parsing with matches from three bytes on
 PIECE = 4096  # bytes encoded at once: in longer pieces a text would lean on itself, not on the dictionary
 NARROW = 0.001  # of the smallest encoding: a text whose two best are nearer is rejected
 LETTER = re.compile(r"[^\W\d_]")
@@ -33,9 +32,10 @@ def folded(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split())
 
 
-def encoder(dictionary: bytes, strategy: int, least: int) -> zstandard.ZstdCompressor:
+def encoder(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """Optimal parsing with matches from three bytes on, whatever the text's length."""
     params = zstandard.ZstdCompressionParameters.from_level(
-        3, strategy=strategy, min_match=least, write_content_size=False, write_checksum=False, write_dict_id=False
+        3, strategy=zstandard.STRATEGY_BTOPT, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     d = zstandard.ZstdCompressionDict(dictionary or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
@@ -43,12 +43,11 @@ def encoder(dictionary: bytes, strategy: int, least: int) -> zstandard.ZstdCompr
 
 
 class Compressors:
-    """Encoders of each language, in order of name, for long and for short texts."""
+    """An encoder for each language, in order of name."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.long = [encoder(dictionaries[n], zstandard.STRATEGY_LAZY2, 4) for n in self.names]
-        self.short = [encoder(dictionaries[n], zstandard.STRATEGY_BTULTRA, 3) for n in self.names]
+        self.encoders = [encoder(dictionaries[n]) for n in self.names]
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0: as good as the next, towards 1: far better), rejected."""
@@ -56,7 +55,7 @@ class Compressors:
             return "und", 0.0, True
         line = folded(text) or b" "
         pieces = [line[k : k + PIECE] for k in range(0, len(line), PIECE)]
-        sizes = [sum(len(c.compress(p)) for p in pieces) for c in (self.short if len(line) < SHORT else self.long)]
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.encoders]
         best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
         if len(sizes) == 1:
             return self.names[0], 1.0, False
