@@ -299,23 +299,38 @@ def sort_suffixes(symbols: np.ndarray, first: np.ndarray, count: np.ndarray, dee
 
 
 def block_codes(data: np.ndarray) -> np.ndarray:
-    """A number for the twenty bytes from each place, by their 64-bit hash: equal for equal blocks.
+    """A number for the twenty bytes from each place: equal for equal blocks, and for no others.
 
-    Two different windows pass for one only if the hashes of all blocks in which they differ collide.
+    Blocks are numbered by a 64-bit hash; each is then compared with the first of its number, and if any differs, all
+    are numbered by their bytes.
     """
     x = np.r_[data, np.zeros(STEP, np.uint8)].astype(np.uint64)
     two = x[:-1] | x[1:] << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
     eight = four[:-4] | four[4:] << np.uint64(32)
     n = len(data)
-    h = eight[:n] * ODD[0]
+    block = eight[:n], eight[8 : 8 + n], four[16 : 16 + n]
+    _, first, code = np.unique(block_hash(*block), return_index=True, return_inverse=True)
+    lead = first[code]
+    if all(np.array_equal(c, c[lead]) for c in block):
+        return code.astype(np.int64)
+    order = np.lexsort(block)
+    new = np.zeros(n, bool)
+    for c in block:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    code[order] = np.cumsum(new)
+    return code.astype(np.int64)
+
+
+def block_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = a * ODD[0]
     h ^= h >> np.uint64(32)
-    h += eight[8 : 8 + n] * ODD[1]
+    h += b * ODD[1]
     h ^= h >> np.uint64(29)
     h *= ODD[2]
-    h += four[16 : 16 + n] * ODD[1]
+    h += c * ODD[1]
     h ^= h >> np.uint64(32)
-    return np.unique(h, return_inverse=True)[1].astype(np.int64)
+    return h
 
 
 def repeats(body: list[bytes], order: np.ndarray) -> list[np.ndarray]:

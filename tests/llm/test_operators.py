@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from parasol.llm import ann, common, decontamination, extraction, langid, lm, mixing, quality, sharding, simhash, substrings
@@ -195,7 +196,18 @@ def test_long_text_over_segments(spark, monkeypatch):
 
     b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*data, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc", "h", "text"])
     windows = sum(int(substrings.pieces(x, e)[3].sum()) for _, x, e in substrings._segments(iter([b])))
-    assert windows == sum(len(x) - 99 for *_, x in data) and want
+    assert windows == sum(len(x) - 99 for *_, x in data)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), False).collect()
+    assert {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == {(d, *want[d, t.encode()]) for d, t in rows}
+
+
+def test_blocks_are_equal_by_bytes(monkeypatch):
+    data = np.frombuffer((prose(5, 300) * 2).encode(), np.uint8)
+    whole = [data[k : k + 20].tobytes().ljust(20, b"\0") for k in range(len(data))]
+    hashed = substrings.block_codes(data)
+    monkeypatch.setattr(substrings, "block_hash", lambda a, b, c: a % np.uint64(7))
+    for code in (hashed, substrings.block_codes(data)):
+        assert len(set(zip(code.tolist(), whole, strict=True))) == len(set(whole)) == len(set(code.tolist()))
 
 
 # ---- sharding
@@ -409,6 +421,25 @@ def test_langid_drops_no_language(spark):
     assert sum(judge.classify(t)[0] == lang for _, t, lang in rows if lang < "l030") > 0.8 * 180
 
 
+def test_langid_equals_plain_encoding(spark, docs):
+    """Every prediction by encoding its pieces one by one, without the operator."""
+    learned = langid.fit(docs)
+    for r in langid.report(docs).collect():
+        text = next(t for d, t, *_ in odd_rows() if d == r["doc_id"] and (d is not None or t))
+        if not text or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        line = langid.folded(text) or b" "
+        size = {}
+        for lang, d in learned.items():
+            p = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_BTOPT, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+            size[lang] = sum(len(c.compress(line[k : k + langid.PIECE])) for k in range(0, len(line), langid.PIECE))
+        least, following = sorted(size.values())[:2] if len(size) > 1 else (1, math.inf)
+        assert r["lang_pred"] == min(size, key=lambda k: (size[k], k))
+        assert r["rejected"] == (following / least - 1 < langid.NARROW)
+
+
 def test_langid_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.report(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").collect()
