@@ -4,8 +4,9 @@ Three metadata dimensions (source, language, size) are quantised to 16 levels ea
 grid lie on a Hilbert curve, rows are sorted by curve index, and the order is cut into runs of equal length,
 so that the files of a shard span few sources, languages and sizes, and a reader can skip the rest.
 
-No row order passes through one task: rows are counted by cell and salted part of a cell, the counts (bounded
-by the grid and the number of partitions) give each part its first rank, and rows are ranked within parts.
+No row order passes through one task: rows are counted by cell and part of a cell, the counts (bounded by the
+grid and the number of partitions) give each part its first rank, and rows are ranked within parts. A part is a
+range of the text hash; a text that crowds its part is cut out of it and divided by the hash of doc_id.
 """
 
 from __future__ import annotations
@@ -56,14 +57,15 @@ def shard(docs: DataFrame, shards: int = 16, keep_text: bool = True) -> DataFram
 
     Adds size, text_crc32, law, shard, slot, grown_shard and curve_index; shard sizes are at most one row apart
     and slots count from 0 in curve order. Null or missing text, source and lang are quantised as empty. Rows
-    that agree in all metadata are ordered by text hash and doc_id, so copies of a text with the same metadata
+    that agree in all metadata are ordered by text hash, so copies of a text with the same metadata
     are neighbours; repeated rows get slots of their own. Empty tables give empty tables. Columns of these
-    names that docs already has are replaced.
+    names that docs already has are replaced. The order is by curve index, hash of the text, hash of doc_id and
+    doc_id, so it depends on no number of partitions.
     """
     spark = docs.sparkSession
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve_index")
     docs = docs.drop(*new)
-    part, order, first, total, rank = fresh(docs, "_part", "_order", "_first", "_total", "_rank")
+    part, order, own, hot, lead, tail, first, total, rank = fresh(docs, "_part", "_order", "_own", "_hot", "_lead", "_tail", "_first", "_total", "_rank")
     name = {c.lower() for c in docs.columns}
     column = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in name else F.lit("")
     text = column("text")
@@ -72,6 +74,7 @@ def shard(docs: DataFrame, shards: int = 16, keep_text: bool = True) -> DataFram
             "size": F.octet_length(text).cast("long") + 1,
             "text_crc32": F.crc32(text.cast("binary")),
             order: F.xxhash64(text),
+            own: F.xxhash64(F.col("doc_id").cast("string")),
         }
     )
     level = lambda c: F.pmod(F.crc32(column(c).cast("binary")), F.lit(LEVELS))
@@ -84,18 +87,30 @@ def shard(docs: DataFrame, shards: int = 16, keep_text: bool = True) -> DataFram
     n = rows.select(F.count(F.lit(1)).alias("n")).first()["n"]
     each = max(64, n // (16 * parts(spark)))
     slices = 1 << max(0, (-(-n // each) - 1).bit_length())  # a power of two, of which a cell uses as many as it needs
-    fine = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 64 - max(1, slices.bit_length() - 1))
+    bits = max(1, slices.bit_length() - 1)
+    fine = lambda h: F.shiftrightunsigned(F.col(h).bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+    width = lambda rows_there: F.greatest(F.lit(1), F.ceil(F.lit(2.0 * slices * each) / rows_there)).cast("long")
     cells = rows.groupBy("curve_index").agg(F.count(F.lit(1)).alias(total))
-    width = F.greatest(F.lit(1), F.ceil(F.lit(2.0 * slices * each) / F.col(total))).cast("long")
-    rows = rows.join(F.broadcast(cells), "curve_index").withColumn(part, F.floor(fine / width)).drop(total)
-    counts = rows.groupBy("curve_index", part).agg(F.count(F.lit(1)).alias(total))
-    ahead = Window.orderBy("curve_index", part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("curve_index", part, F.coalesce(F.sum(total).over(ahead), F.lit(0)).alias(first))
-    within = Window.partitionBy("curve_index", part).orderBy(order, F.col("doc_id").asc_nulls_last())
+    rows = rows.join(F.broadcast(cells), "curve_index").withColumn(part, F.floor(fine(order) / width(F.col(total)))).drop(total)
+    # Texts with more rows than a part should have: at most n / each of them.
+    crowded = rows.groupBy("curve_index", part).agg(F.count(F.lit(1)).alias(total)).where(F.col(total) > 4 * each)
+    texts = rows.join(F.broadcast(crowded.drop(total)), ["curve_index", part], "left_semi").groupBy("curve_index", part, order)
+    texts = texts.agg(F.count(F.lit(1)).alias(total)).where(F.col(total) > each)
+    hots = texts.groupBy("curve_index", part).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("h"), F.col(total).alias("n")))).alias(hot))
+    rows = rows.join(F.broadcast(hots), ["curve_index", part], "left")
+    before = F.element_at(F.filter(hot, lambda x: x.h <= F.col(order)), -1)  # the crowded text at or before this one
+    rows = rows.withColumn(hot, F.when(F.size(F.filter(hot, lambda x: x.h <= F.col(order))) > 0, before))
+    rows = rows.withColumn(lead, F.coalesce(F.col(hot).h, F.lit(-(1 << 63))))
+    rows = rows.withColumn(tail, F.when(F.col(hot).h == F.col(order), F.floor(fine(own) / width(F.col(hot).n))).otherwise(F.lit(slices)))
+    label = ["curve_index", part, lead, tail]
+    counts = rows.groupBy(*label).agg(F.count(F.lit(1)).alias(total))
+    ahead = Window.orderBy(*label).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*label, F.coalesce(F.sum(total).over(ahead), F.lit(0)).alias(first))
+    within = Window.partitionBy(*label).orderBy(order, own, F.col("doc_id").asc_nulls_last())
     if not keep_text:
         rows = rows.drop("text")
     ranked = rows.withColumn(rank, F.row_number().over(within))
-    ranked = ranked.join(F.broadcast(starts), ["curve_index", part])
+    ranked = ranked.join(F.broadcast(starts), label)
     ranked = ranked.withColumn(rank, F.col(rank) + F.col(first) - 1)
     short, longer = n // shards, n % shards
     edge = F.lit(longer * (short + 1))

@@ -235,6 +235,35 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0 and sharding.shard(docs.limit(3)).count() == 3
 
 
+def plain_index(curve: list[int], source: str, lang: str, size: int) -> int:
+    """Place on the curve of a row's cell, from its metadata alone."""
+    level = lambda x: zlib.crc32(x.encode()) % 16
+    return curve[(level(source) * 16 + level(lang)) * 16 + min(15, int(math.log2(size)))]
+
+
+def test_shards_of_a_hot_text(spark):
+    """A third of all rows is one text: it is divided, in an order that no number of partitions changes."""
+    r = np.random.default_rng(2)
+    rows = [(k, "the same" if k % 3 == 0 else prose(k, 1 + k % 9), "en", f"s{int(r.integers(3))}") for k in range(3000)]
+    rows += [(5000 + k, "", None, None) for k in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = []
+    for parts in (3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append({x["doc_id"]: x for x in sharding.shard(d.repartition(parts)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    line = sorted(got[0].values(), key=lambda x: (x["shard"], x["slot"]))
+    count = Counter(x["shard"] for x in line)
+    assert max(count.values()) - min(count.values()) <= 1
+    assert all([x["slot"] for x in line if x["shard"] == k] == list(range(count[k])) for k in count)
+    curve = sharding.curve()
+    assert all(x["curve_index"] == plain_index(curve, x["source"] or "", x["lang"] or "", x["size"]) for x in line)
+    xx = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63  # noqa: E731  in order of signed numbers
+    place = [(x["curve_index"], xx(x["text"]), xx(str(x["doc_id"]))) for x in line]
+    assert place == sorted(place)
+
+
 # ---- nearest neighbours
 
 
