@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 # The fields of the exchange format.
@@ -28,11 +28,21 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, path: str, ids: list[str] | DataFrame | None = None) -> DataFrame:
-    """Tile documents of a folder, all or those of the given ids (a list, or a DataFrame with a column id)."""
-    rows = spark.read.schema(TILE).json(path)
+    """Tile documents of a folder, all or those of the given ids (a list, or a DataFrame with a column id).
+
+    A tile's file bears its id, so of a list only the files named are opened; a DataFrame is joined after reading.
+    """
+    reader = spark.read.schema(TILE)
     if ids is None:
-        return rows
-    return rows.join(ids, "id", "left_semi") if isinstance(ids, DataFrame) else rows.where(F.col("id").isin(ids))
+        return reader.json(path)
+    if isinstance(ids, DataFrame):
+        return reader.json(path).join(ids, "id", "left_semi")
+    return _named(reader, ids).json(path).where(F.col("id").isin(ids))
+
+
+def _named(reader: DataFrameReader, ids: list[str]) -> DataFrameReader:
+    """Opens only the files of these ids; where there are none, no file."""
+    return reader.option("pathGlobFilter", "{" + ",".join(f"{x}.json" for x in ids or ["-"]) + "}")
 
 
 def nodes(tile: DataFrame, load: Column) -> DataFrame:
@@ -52,9 +62,15 @@ def crossings(tile: DataFrame, load: Column) -> DataFrame:
     return at.select("t.a", "t.b", "t.l", "t.src", "tile_ord", "pos")
 
 
-def shade_files(spark: SparkSession, path: str) -> DataFrame:
-    """Shade documents of a folder with a subfolder for each date."""
-    return spark.read.schema(SHADE).option("recursiveFileLookup", True).json(path)
+def shade_files(spark: SparkSession, path: str, dates: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Shade documents of a folder with a subfolder for each date and in it a file for each tile.
+
+    Of given dates and tile ids only the folders and files named are opened; a date that has no folder is an error.
+    """
+    reader = spark.read.schema(SHADE).option("recursiveFileLookup", True)
+    if ids is not None:
+        reader = _named(reader, ids)
+    return reader.json(path if dates is None else [f"{path}/{d}" for d in dict.fromkeys(dates)])
 
 
 def decoded(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Rules of the graph that samples never show, and the two searches against each other."""
 
+import base64
 import json
 
 import pytest
@@ -72,6 +73,26 @@ def test_readers(spark, tmp_path):
     assert network.manifest(spark, str(tmp_path / "m")).first()["dates"] == {"2026-09-10": ["07:00"]}
 
 
+def test_readers_open_only_what_is_asked_for(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"{k}_0.json").write_text(json.dumps({"id": f"{k}_0", "noeuds": [], "segments": [], "traversees": []}))
+    few = network.tiles(spark, str(tmp_path), ["1_0", "3_0", "9_9"])
+    assert {r["id"] for r in few.collect()} == {"1_0", "3_0"} and len(few.inputFiles()) == 2
+    assert network.tiles(spark, str(tmp_path), []).count() == 0
+    assert network.tiles(spark, str(tmp_path), spark.createDataFrame([("2_0",)], "id string")).count() == 1
+    for date in ("2026-09-10", "2026-09-11"):
+        (tmp_path / "shade" / date).mkdir(parents=True)
+        for k in range(3):
+            row = {"date": date, "tuile": f"{k}_0", "pas": ["07:00"], "seg": [7], "v": base64.b64encode(bytes([40 + k])).decode(), "conf": base64.b64encode(b"\x80").decode()}
+            (tmp_path / "shade" / date / f"{k}_0.json").write_text(json.dumps(row))
+    path = str(tmp_path / "shade")
+    files = network.shade_files(spark, path, ["2026-09-11"], ["2_0"])
+    assert len(files.inputFiles()) == 1 and network.shade_files(spark, path).count() == 6
+    assert [(r["date"], r["tile"], r["val"], r["low_conf"]) for r in network.decoded(files).collect()] == [("2026-09-11", "2_0", 42, 1)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        network.shade_files(spark, path, ["2026-09-12"]).count()
+
+
 def test_streets():
     stage = lambda kind, rue, s0, s1: {"kind": kind, "rue": rue, "s0": s0, "s1": s1}
     rows = [stage("liaison", None, 0, 2), stage("trottoir", "A", 2, 40), stage("traversee", None, 40, 50), stage("trottoir", "B", 50, 60), stage("trottoir", "A", 60, 90), stage("trottoir", None, 90, 95)]
