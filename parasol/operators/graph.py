@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parasol.functions.geo import cumulative, length, plane
+from parasol.functions.geo import cumulative, length, line_exact, plane
 
 FIRST = ["tile_ord", "pos"]
 
@@ -25,9 +25,9 @@ def last_segments(segments: DataFrame) -> DataFrame:
     return rows.select("i", "s.*", "ord")
 
 
-def measured(segments: DataFrame) -> DataFrame:
-    """Segments with their geometry in metres (line) and running lengths (cumul)."""
-    line = F.transform("geom", lambda p: plane(p.lon, p.lat))
+def measured(segments: DataFrame, exact: bool = False) -> DataFrame:
+    """Segments with their geometry in metres (line) and running lengths (cumul); exact: to the last bit of C's functions."""
+    line = line_exact(F.col("geom")) if exact else F.transform("geom", lambda p: plane(p.lon, p.lat))
     return segments.withColumn("line", line).withColumn("cumul", cumulative(F.col("line")))
 
 

@@ -41,8 +41,8 @@ def r3(c: Column | str, name: str | None = None) -> Column:
     return F.round(c, 3).alias(name) if name else F.round(c, 3)
 
 
-def _segments(spark: SparkSession) -> DataFrame:
-    return graph.measured(graph.last_segments(city.segments(spark)))
+def _segments(spark: SparkSession, exact: bool = False) -> DataFrame:
+    return graph.measured(graph.last_segments(city.segments(spark)), exact)
 
 
 def _net(spark: SparkSession) -> Network:
@@ -149,8 +149,8 @@ def sidewalk_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def attach_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest sidewalk of every fix."""
-    p = city.fixes(spark, sf_dir).select("event_id", geo.plane(F.col("lon"), F.col("lat")).alias("m")).select("event_id", "m.x", "m.y")
-    a = nearest.attach(p, nearest.strips(_segments(spark)), "event_id")
+    p = city.fixes(spark, sf_dir).select("event_id", geo.plane_exact(F.col("lon"), F.col("lat")).alias("m")).select("event_id", "m.x", "m.y")
+    a = nearest.attach(p, nearest.strips(_segments(spark, exact=True)), "event_id")
     return a.select("event_id", "i", r3("projection_m", "projection_m"), r3("rest_m", "rest_m"), r3("distance_m", "distance_m"))
 
 
@@ -167,9 +167,9 @@ def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def followed_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest street and nearest expected street among nine cells."""
-    f = city.fixes(spark, sf_dir).select("event_id", geo.plane(F.col("lon"), F.col("lat")).alias("m"))
+    f = city.fixes(spark, sf_dir).select("event_id", geo.plane_exact(F.col("lon"), F.col("lat")).alias("m"))
     f = f.select("event_id", "m.x", "m.y", F.array(F.concat(F.lit("Rue H"), (F.col("event_id") % 6).cast("string"))).alias("expected"))
-    got = nearest.followed_street(f, _segments(spark), "event_id")
+    got = nearest.followed_street(f, _segments(spark, exact=True), "event_id")
     return got.select("event_id", "i", "rue", "cote", r3("d", "d"), r3("d_expected", "d_expected"))
 
 
