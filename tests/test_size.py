@@ -34,3 +34,12 @@ def test_streets_need_no_group_of_pandas_each(spark, sf):
     assert sorted(want, key=str) == sorted(((r["route_id"], r["n"], r["rue"], r["s0"], r["s1"]) for r in rows), key=str)
     last = {k: max(w[1] for w in want if w[0] == k) for k in by}
     assert all((r["manoeuvre"] == "arrivee") == (r["n"] == last[r["route_id"]]) for r in rows)
+
+
+def test_walks_share_their_sidewalks(spark, sf):
+    from parasol.streaming import run
+
+    fixes, context = core._guided(spark, sf)
+    a, b = (run.walk_of(r["context"]) for r in context.orderBy("walk_id").limit(2).collect())
+    assert a.near is b.near and len(a.sidewalks) == 288
+    assert "InPandas" not in plan_of(run.navigated(fixes, context))
