@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parasol.functions.geo import SCREEN_DEGREE, half_up, side_of
 from parasol.functions.shade import UNKNOWN, shaded
 from parasol.functions.shade import shade as share
-from parasol.operators.trace import place, walking_direction
+from parasol.operators.trace import by_sorting, place, walking_direction
 
 BAND_M, WINDOW_M, LEAST_WINDOW_M, CONTRAST = 150.0, 50.0, 15.0, 0.3
 NARROW_M = 12.0
@@ -24,7 +24,7 @@ def with_shade(stages: DataFrame, shade: DataFrame, face: DataFrame, face_at_dep
     rows = stages.join(at("i", "step", "o"), ["i", "step"], "left").join(face.select("i", "i_face", F.col("distance_m").alias("face_m")), "i", "left")
     if face_at_departure:
         own = stages.where("i is not null").groupBy("route_id", F.col("i").alias("i_face")).agg(F.max("step").alias("own_step"))
-        rows = rows.join(own, ["route_id", "i_face"], "left").withColumn("face_step", F.coalesce("own_step", "start_step")).drop("own_step")
+        rows = rows.join(by_sorting(own), ["route_id", "i_face"], "left").withColumn("face_step", F.coalesce("own_step", "start_step")).drop("own_step")
     else:
         rows = rows.withColumn("face_step", F.col("step"))
     return rows.join(at("i_face", "face_step", "o_face"), ["i_face", "face_step"], "left")
@@ -34,7 +34,7 @@ def band(places: DataFrame, shaded_stages: DataFrame, horizon: Column | float =
     """Stretches of both sides of the street from s to s + horizon: what of each stage lies within, and its shade."""
     reach = horizon if isinstance(horizon, Column) else F.lit(horizon)
     p = places.withColumn("end", F.least(F.col("longueur"), F.col("s") + reach))
-    met = p.join(shaded_stages.drop("longueur"), "route_id").where((F.col("s1") > F.col("s")) & (F.col("s0") < F.col("end")))
+    met = p.join(by_sorting(shaded_stages.drop("longueur")), "route_id").where((F.col("s1") > F.col("s")) & (F.col("s0") < F.col("end")))
     met = met.withColumn("d0", F.greatest("s0", "s")).withColumn("d1", F.least("s1", "end")).where("d1 > d0")
     walk = F.col("kind") == "trottoir"
     return met.withColumn("known", walk).withColumn("known_face", walk & F.col("i_face").isNotNull())

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from parasol.functions.geo import heading, length, let, plane, step_degrees
 
 
+def by_sorting(rows: DataFrame) -> DataFrame:
+    """rows of walks, to be joined by sorting. Spark guesses sizes without what explode and collect_list add, so a table
+    that it takes for a small one and sends round by way of the driver may have all points of all walks."""
+    return rows.hint("merge")
+
+
 def stage_points(path: DataFrame, segments: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
     """Path edges (route_id, seq, de, vers, kind, i, src) -> their points (route_id, seq, pos, lon, lat, s, step).
 
@@ -16,7 +22,7 @@ def stage_points(path: DataFrame, segments: DataFrame, nodes: DataFrame, ends: D
     """
     place = nodes.select("nid", F.struct("lon", "lat").alias("p"))
     at = lambda d, side: d.join(place.select(F.col("nid").alias(side), F.col("p").alias("p_" + side)), side, "left")
-    rows = at(at(path, "de"), "vers").join(ends, "route_id")
+    rows = at(at(path, "de"), "vers").join(by_sorting(ends), "route_id")
     rows = rows.join(segments.select("i", F.col("b").alias("seg_b"), "geom"), "i", "left")
     own = lambda side: F.when(F.col(side) == -1, F.col("dep")).when(F.col(side) == -2, F.col("arr")).otherwise(F.col("p_" + side))
     first, last = own("de"), own("vers")
@@ -38,7 +44,7 @@ def stages(path: DataFrame, points: DataFrame, segments: DataFrame) -> DataFrame
     ends = points.groupBy("route_id", "seq").agg(F.max("s").alias("s1"))
     w = Window.partitionBy("route_id").orderBy("seq")
     named = segments.select("i", F.nullif("rue", F.lit("")).alias("rue"), F.nullif("cote", F.lit("")).alias("cote"))
-    rows = path.join(ends, ["route_id", "seq"]).join(named, "i", "left")
+    rows = path.join(by_sorting(ends), ["route_id", "seq"]).join(named, "i", "left")
     rows = rows.withColumn("s0", F.coalesce(F.lag("s1").over(w), F.lit(0.0)))
     kind = F.when(F.col("kind") == "attache", "liaison").otherwise(F.col("kind"))
     return rows.select("route_id", "seq", "s0", "s1", kind.alias("kind"), "rue", "cote", F.col("src").alias("source"), "i", "step")

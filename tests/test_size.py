@@ -43,3 +43,22 @@ def test_walks_share_their_sidewalks(spark, sf):
     a, b = (run.walk_of(r["context"]) for r in context.orderBy("walk_id").limit(2).collect())
     assert a.near is b.near and len(a.sidewalks) == 288
     assert "InPandas" not in plan_of(run.navigated(fixes, context))
+
+
+def broadcasts(node) -> list[str]:
+    """What the joins of a plan send to all executors, by way of the driver."""
+    own = []
+    if node.nodeName().startswith("Broadcast") and node.nodeName().endswith("Join"):
+        own = [(node.left() if "Left" in node.buildSide().toString() else node.right()).toString()]
+    below = node.children()
+    return own + [x for k in range(below.size()) for x in broadcasts(below.apply(k))]
+
+
+@pytest.mark.parametrize("name", ["shade_bands"])
+def test_no_walks_in_a_broadcast(spark, sf, name, monkeypatch):
+    kept, cut = [], core.cut
+    monkeypatch.setattr(core, "cut", lambda df: (kept.append(df), cut(df))[1])
+    kept.append(core.QUERIES[name](spark, sf))
+    assert len(kept) == 4
+    sent = [x for df in kept for x in broadcasts(df._jdf.queryExecution().sparkPlan())]
+    assert sent and not [x for x in sent if "c_custkey" in x or "ExistingRDD" in x]
