@@ -89,7 +89,7 @@ def reasons(places: DataFrame, shaded_stages: DataFrame) -> DataFrame:
     agrees = nxt.isNull() | nxt.cross | (nxt.dark == F.col("dark"))
     rows = rows.withColumn("durable", walk & agrees)
     arr = rows.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", "s0", "s1", "kind", "dark", "durable"))).alias("rows"))
-    p = places.join(arr, "route_id")
+    p = places.join(by_sorting(arr), "route_id")
     s, all_ = F.col("s"), F.col("rows")
     hit = F.array_position(F.transform(all_, lambda x: (s >= x.s0) & (s < x.s1)), True) - 1
     p = p.withColumn("at", F.when(hit >= 0, hit).otherwise(F.size(all_) - 1).cast("int"))

@@ -54,7 +54,7 @@ def broadcasts(node) -> list[str]:
     return own + [x for k in range(below.size()) for x in broadcasts(below.apply(k))]
 
 
-@pytest.mark.parametrize("name", ["shade_bands", "shade_contrast"])
+@pytest.mark.parametrize("name", ["shade_bands", "shade_contrast", "sun_reasons"])
 def test_no_walks_in_a_broadcast(spark, sf, name, monkeypatch):
     kept, cut = [], core.cut
     monkeypatch.setattr(core, "cut", lambda df: (kept.append(df), cut(df))[1])
