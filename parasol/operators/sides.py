@@ -48,20 +48,27 @@ def mean_shade(metres: Column, walk: Column, known: Column, value: Column) -> Co
 
 
 def contrast(places: DataFrame, shaded_stages: DataFrame, window: float = WINDOW_M) -> DataFrame:
-    """places (route_id, s, longueur) with the shade of both sides up to the next crossing, and whether the other is clearly darker."""
-    cross = shaded_stages.where("kind = 'traversee'").groupBy("route_id").agg(F.sort_array(F.collect_list("s0")).alias("crossings"))
-    p = places.join(cross, "route_id", "left")
-    nxt = F.get(F.filter("crossings", lambda x: x > F.col("s")), F.lit(0))
-    p = p.withColumn("horizon", F.least(F.lit(window), F.coalesce(nxt - F.col("s"), F.lit(window)))).drop("crossings")
-    far = p.where(F.col("horizon") >= LEAST_WINDOW_M)
-    m, walk = F.col("d1") - F.col("d0"), F.col("kind") == "trottoir"
-    means = band(far, shaded_stages, F.col("horizon")).groupBy("route_id", "s").agg(
-        mean_shade(m, walk, F.col("known"), F.col("o")).alias("ombre_suivi"),
-        mean_shade(m, walk, F.col("known_face"), F.col("o_face")).alias("ombre_en_face"),
-    )
-    out = p.join(means, ["route_id", "s"], "left")
-    active = F.coalesce(F.col("ombre_en_face") - F.col("ombre_suivi") > CONTRAST, F.lit(False))
-    return out.select(*places.columns, "horizon", "ombre_suivi", "ombre_en_face", active.alias("actif"))
+    """places (route_id, s, longueur) with the shade of both sides up to the next crossing, and whether the other is clearly darker.
+
+    A place meets its walk's stages as one array, so that places are made, dealt and joined once; means are as in mean_shade().
+    """
+    walk = F.col("kind") == "trottoir"
+    stage = F.struct("seq", "s0", "s1", (F.col("kind") == "traversee").alias("cross"), walk.alias("known"), (walk & F.col("i_face").isNotNull()).alias("known_face"), "o", "o_face")
+    p = places.join(by_sorting(shaded_stages.groupBy("route_id").agg(F.array_sort(F.collect_list(stage)).alias("rows"))), "route_id", "left")
+    s = F.col("s")
+    nxt = F.array_min(F.transform(F.filter("rows", lambda x: x.cross & (x.s0 > s)), lambda x: x.s0))
+    p = p.withColumn("horizon", F.least(F.lit(window), F.coalesce(nxt - s, F.lit(window)))).withColumn("end", F.least(F.col("longueur"), s + F.col("horizon")))
+    met = F.filter("rows", lambda x: (x.s1 > s) & (x.s0 < F.col("end")))
+    met = F.transform(met, lambda x: F.struct((F.least(x.s1, F.col("end")) - F.greatest(x.s0, s)).alias("m"), x.known.alias("known"), x.known_face.alias("known_face"), x.o.alias("o"), x.o_face.alias("o_face")))
+    p = p.withColumn("met", F.when(F.col("horizon") >= LEAST_WINDOW_M, F.filter(met, lambda x: x.m > 0)))
+    total = lambda f: F.aggregate("met", F.lit(0.0), lambda a, x: a + f(x))
+    p = p.withColumn("metres", total(lambda x: x.m))
+    for known, value in (("known", "o"), ("known_face", "o_face")):
+        p = p.withColumn("counted", total(lambda x: F.when(x[known], x.m).otherwise(0.0)))
+        dark = total(lambda x: F.when(x[known], F.coalesce(x[value], F.lit(1.0)) * x.m).otherwise(0.0))
+        p = p.withColumn("mean_" + value, F.when((F.col("metres") > 0) & (F.col("counted") >= 0.5 * F.col("metres")), dark / F.col("counted")))
+    active = F.coalesce(F.col("mean_o_face") - F.col("mean_o") > CONTRAST, F.lit(False))
+    return p.select(*places.columns, "horizon", F.col("mean_o").alias("ombre_suivi"), F.col("mean_o_face").alias("ombre_en_face"), active.alias("actif"))
 
 
 def after_crossing(places: DataFrame, shaded_stages: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def _places(traces: DataFrame) -> DataFrame:
 
 
 def _shaded(spark: SparkSession, sf_dir: str, stages: DataFrame, at_departure: bool = True) -> DataFrame:
-    start = city.walks(spark, sf_dir).groupBy("route_id").agg(F.min("step").alias("start_step"))
+    start = stages.groupBy("route_id").agg(F.min("step").alias("start_step"))  # of the stages as written, not of walks made anew
     return cut(sides.with_shade(stages.join(trace.by_sorting(start), "route_id"), city.shade(spark), nearest.facing(_segments(spark)), at_departure))
 
 

@@ -62,3 +62,37 @@ def test_no_walks_in_a_broadcast(spark, sf, name, monkeypatch):
     assert len(kept) == 4
     sent = [x for df in kept for x in broadcasts(df._jdf.queryExecution().sparkPlan())]
     assert sent and not [x for x in sent if "c_custkey" in x or "ExistingRDD" in x]
+
+
+def test_contrast_is_joined_by_sorting_whatever_the_limit(spark, sf):
+    """Spark also sends a table round by its size as it turns out in the run, if that is below the session's limit."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = core.shade_contrast(spark, sf)
+        assert df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = plan_of(df)
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert plan.partition("Initial Plan")[0].count("SortMergeJoin") == 1  # places are made, dealt and joined once
+
+
+def test_contrast_of_places(spark):
+    from parasol.operators import sides
+
+    rows = [
+        (1, 0, 0.0, 40.0, "trottoir", 7, 0.2, 0.9), (1, 1, 40.0, 44.0, "traversee", None, None, None), (1, 2, 44.0, 90.0, "trottoir", None, 0.5, None),
+        (2, 0, 0.0, 10.0, "trottoir", 7, 0.0, 1.0), (2, 1, 10.0, 70.0, "trottoir", 7, None, 0.5),
+    ]
+    stages = spark.createDataFrame(rows, "route_id long, seq int, s0 double, s1 double, kind string, i_face int, o double, o_face double")
+    asked = [(1, 90.0, 10.0), (1, 90.0, 10.0), (1, 90.0, 30.0), (1, 90.0, 44.0), (2, 70.0, 0.0), (3, 50.0, 0.0)]
+    got = sides.contrast(spark.createDataFrame(asked, "route_id long, longueur double, s double"), stages)
+    got = [tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r) for r in got.orderBy("route_id", "s").collect()]
+    assert got == [
+        (1, 90.0, 10.0, 30.0, 0.2, 0.9, True), (1, 90.0, 10.0, 30.0, 0.2, 0.9, True),  # a place asked twice has two rows
+        (1, 90.0, 30.0, 10.0, None, None, False),  # too near to the crossing
+        (1, 90.0, 44.0, 50.0, 0.5, None, False),  # nothing opposite
+        (2, 70.0, 0.0, 50.0, 0.8, 0.6, False),  # unknown shade counts as shade
+        (3, 50.0, 0.0, 50.0, None, None, False),  # a walk without stages
+    ]
