@@ -124,9 +124,8 @@ def side_to_walk(places: DataFrame, stages: DataFrame, segments: DataFrame, face
 
     met = stage_at(places, stages).join(segments.select("i", "cote", F.get("line", F.floor(F.size("line") / 2).cast("int")).alias("mid")).withColumnRenamed("cote", "side"), "i", "left")
     met = met.join(face.select("i", "i_face"), "i", "left").join(segments.select(F.col("i").alias("i_face"), F.get("line", F.floor(F.size("line") / 2).cast("int")).alias("mid_face")), "i_face", "left")
-    ends = stages.select("route_id", F.col("seq").alias("walk_seq"), "s0", "s1")
-    met = met.join(ends, ["route_id", "walk_seq"], "left").join(traces, "route_id")
-    at = F.least(F.greatest("s", "s0"), "s1")
+    met = met.join(by_sorting(traces), "route_id")
+    at = F.least(F.greatest("s", "walk_s0"), "walk_s1")
     met = met.withColumn("near", walking_direction(F.col("pts"), at, 5.0)).withColumn("wide", walking_direction(F.col("pts"), at, 15.0))
     x = F.when(F.col("side") == "est", 1.0).when(F.col("side") == "ouest", -1.0).when(F.col("side").isin("nord", "sud"), 0.0)
     y = F.when(F.col("side") == "nord", 1.0).when(F.col("side") == "sud", -1.0).when(F.col("side").isin("est", "ouest"), 0.0)

@@ -96,3 +96,17 @@ def test_contrast_of_places(spark):
         (2, 70.0, 0.0, 50.0, 0.8, 0.6, False),  # unknown shade counts as shade
         (3, 50.0, 0.0, 50.0, None, None, False),  # a walk without stages
     ]
+
+
+def sent_walks(monkeypatch, make) -> list[str]:
+    """Tables of walks in broadcasts of make()'s plan and of what it writes on its way."""
+    kept, cut = [], core.cut
+    monkeypatch.setattr(core, "cut", lambda df: (kept.append(df), cut(df))[1])
+    kept.append(make())
+    sent = [x for df in kept for x in broadcasts(df._jdf.queryExecution().sparkPlan())]
+    assert sent
+    return [x for x in sent if "c_custkey" in x or "ExistingRDD" in x]
+
+
+def test_sides_send_no_walks_round(spark, sf, monkeypatch):
+    assert not sent_walks(monkeypatch, lambda: core.walking_sides(spark, sf))
