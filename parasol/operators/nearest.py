@@ -85,17 +85,21 @@ def followed_street(fixes: DataFrame, segments: DataFrame, key: str, expected: s
     """For each fix (key, x, y, expected: array of streets): nearest sidewalk of the 3 x 3 cells round it, and the
     distance of the nearest of an expected street.
 
-    A segment lies in the cells of its first, last and middle vertex only.
+    A segment lies in the cells of its first, last and middle vertex only, and goes to the cells round these, so that
+    a fix meets each stretch once. The least distances come first, which need no sorting of pairs; what lies at the
+    least distance is sought in the same pairs again.
     """
     n = F.size("line")
     ends = F.array(F.get("line", F.lit(0)), F.get("line", n - 1), F.get("line", F.floor(n / 2).cast("int")))
-    cell = lambda p: F.struct(F.floor(p.x / CELL).alias("cx"), F.floor(p.y / CELL).alias("cy"))
-    s = strips(segments.withColumn("cells", F.array_distinct(F.transform(ends, cell)))).withColumn("cell", F.explode("cells"))
-    round_ = F.array(*[F.struct((F.floor(F.col("x") / CELL) + a).alias("cx"), (F.floor(F.col("y") / CELL) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    met = _projected(fixes.withColumn("cell", F.explode(round_)).join(s.drop("cells"), "cell"))
-    near = F.min_by(F.struct("i", F.nullif("rue", F.lit("")).alias("rue"), F.nullif("cote", F.lit("")).alias("cote"), "d"), F.struct("d", "ord")).alias("n")
+    cell = lambda x, y: F.struct(F.floor(x / CELL).alias("cx"), F.floor(y / CELL).alias("cy"))
+    round_ = F.flatten(F.transform(ends, lambda p: F.array(*[F.struct((F.floor(p.x / CELL) + a).alias("cx"), (F.floor(p.y / CELL) + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])))
+    s = strips(segments.withColumn("cells", F.array_distinct(round_))).withColumn("cell", F.explode("cells")).drop("cells")
+    pairs = lambda p: _projected(p.withColumn("cell", cell(F.col("x"), F.col("y"))).join(s, "cell"))
     awaited = F.min(F.when(F.array_contains(expected, F.col("rue")), F.col("d"))).alias("d_expected")
-    return met.groupBy(key).agg(near, awaited).select(key, "n.*", "d_expected")
+    least = pairs(fixes.repartition(key)).groupBy(*fixes.columns).agg(F.min("d").alias("d_least"), awaited)
+    met = pairs(least).where(F.col("d") == F.col("d_least"))
+    near = F.min_by(F.struct("i", F.nullif("rue", F.lit("")).alias("rue"), F.nullif("cote", F.lit("")).alias("cote"), "d"), F.struct("d", "ord")).alias("n")
+    return met.groupBy(key).agg(near, F.min("d_expected").alias("d_expected")).select(key, "n.*", "d_expected")
 
 
 def within_reach(segments: DataFrame, trace: DataFrame, margin: float = 250.0) -> DataFrame:

@@ -110,3 +110,11 @@ def sent_walks(monkeypatch, make) -> list[str]:
 
 def test_sides_send_no_walks_round(spark, sf, monkeypatch):
     assert not sent_walks(monkeypatch, lambda: core.walking_sides(spark, sf))
+
+
+def test_fixes_meet_streets_without_sorting_pairs(spark, sf):
+    """A fix meets hundreds of stretches: what sorts must get only those at the least distance."""
+    lines = core.followed_streets(spark, sf)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [k for k, line in enumerate(lines) if "Join" in line]
+    over = [next(x for x in reversed(lines[: k + 1]) if "d_least" in x or "Aggregate" in x) for k in joins]
+    assert len(joins) == 2 and "Aggregate" not in over[0] and "HashAggregate" in over[1]
