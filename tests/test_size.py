@@ -112,9 +112,35 @@ def test_sides_send_no_walks_round(spark, sf, monkeypatch):
     assert not sent_walks(monkeypatch, lambda: core.walking_sides(spark, sf))
 
 
+def test_calls_send_no_walks_round(spark, sf, monkeypatch):
+    assert not sent_walks(monkeypatch, lambda: core.recalculation_requests(spark, sf))
+
+
+def test_sidewalks_of_all_walks_are_not_shuffled(spark, sf):
+    plan = core.recalculation_requests(spark, sf)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    at = lambda what: [k for k, x in enumerate(plan) if what in x]
+    (python,), (added,), (dealt,) = at("MapInArrow run"), at("substr(scalar-subquery"), at("REPARTITION_BY_COL")
+    assert python < added < dealt
+
+
+def test_calls_are_where_their_fixes_are(spark, sf):
+    from parasol.streaming import run
+
+    fixes, context = core._guided(spark, sf)
+    got = run.navigated(fixes, context).cache()
+    want = run.recalculations(got.drop("lon", "lat"), fixes, core.city.requests(spark, sf)).collect()
+    assert want and sorted(want) == sorted(core.recalculation_requests(spark, sf).collect())
+
+
 def test_fixes_meet_streets_without_sorting_pairs(spark, sf):
     """A fix meets hundreds of stretches: what sorts must get only those at the least distance."""
     lines = core.followed_streets(spark, sf)._jdf.queryExecution().sparkPlan().toString().splitlines()
     joins = [k for k, line in enumerate(lines) if "Join" in line]
     over = [next(x for x in reversed(lines[: k + 1]) if "d_least" in x or "Aggregate" in x) for k in joins]
     assert len(joins) == 2 and "Aggregate" not in over[0] and "HashAggregate" in over[1]
+
+
+def test_walks_are_dealt_with_their_contexts(spark, sf):
+    """Fixes and contexts are both dealt by walk where they are joined, and Spark drops a repartition that is the same;
+    but it then joins small partitions on each side as their sizes say, and walks lose their contexts."""
+    assert plan_of(core.recalculation_requests(spark, sf)).count("REPARTITION_BY_COL") == 1
